@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a number in an exported attribute: decimal or exponent form, or nan / inf.
-_NUMBER = r"(?i)^\s*[+-]?(nan|inf(inity)?|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)\s*$"
-
 
 def sql_round(x: Column, digits: int = 0) -> Column:
     """Half-away-from-zero on the binary value: scale, round, unscale.
@@ -64,5 +61,11 @@ def nonzero(x: Column) -> Column:
 
 
 def safe_double(text: Column) -> Column:
-    """Parse a double, NULL for anything that is not a plain number."""
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    """Parse a double, NULL for anything that is not a plain number, nan or inf.
+
+    The character check keeps out what only Java reads as a number, such as ``3.5f`` or hexadecimal.
+    """
+    bare = F.trim(text)
+    digits_only = F.translate(bare, "0123456789+-.eE", "") == ""
+    named = F.ltrim(F.lower(bare), F.lit("+-")).isin("nan", "inf", "infinity")
+    return F.when(digits_only | named, bare.try_cast("double"))

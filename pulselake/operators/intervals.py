@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulselake.functions.calendar import hour_bucket
@@ -19,6 +19,12 @@ def _bucketed(intervals: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def _salt(salts: int) -> Column:
+    """Sub-key of a record. Never NULL, and declared so: Spark then adds no not-null filter computing it twice."""
+    spread = F.pmod(F.xxhash64("start_date", "end_date", "value"), F.lit(salts))
+    return F.coalesce(spread.cast("int"), F.lit(0))
+
+
 def records_within(
     workouts: DataFrame,
     records: DataFrame,
@@ -40,7 +46,7 @@ def records_within(
     right = records.select(
         F.col("subject_id"),
         hour_bucket(F.col("start_date")).alias("_bucket"),
-        F.pmod(F.xxhash64("start_date", "end_date", "value"), F.lit(salts)).cast("int").alias("_salt"),
+        _salt(salts).alias("_salt"),
         F.col("record_type"),
         F.col("start_date").alias("record_start"),
         F.col("end_date").alias("record_end"),

@@ -897,7 +897,7 @@ SELECT record_type, count(*) AS cnt FROM records GROUP BY 1 ORDER BY cnt DESC, r
         ]
     ),
     "parsed_records": """
-SELECT subject_id, 'Tom & "Watch" > 1' AS source_name, record_type, start_date, end_date, value FROM records""",
+SELECT subject_id, CASE WHEN value % 2 = 0 THEN 'Tom & "Watch" > 1' ELSE 'Tom > 1' END AS source_name, record_type, start_date, end_date, value FROM records""",
     "parsed_workouts": """
 SELECT subject_id, workout_activity_type, start_date, end_date, duration, total_distance, total_distance_unit,
        total_energy_burned FROM workouts""",

@@ -72,23 +72,24 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(base: DataFrame) -> DataFrame:
-    value = F.coalesce(*[F.when(F.col("record_type") == n, F.expr(x).cast("double")) for n, x in VALUES.items()])
-    night = F.col("record_type") == "SleepAnalysis"
-    seconds = F.expr("cast(event_id % 600 as int)")
-    typed = base.withColumn("record_type", _pick(RECORD_TYPES, "event_id % 18"))
-    return typed.select(
+    slot = F.col("event_id") % len(RECORD_TYPES)
+    value = F.lit(None).cast("double")
+    for place, name in enumerate(RECORD_TYPES):
+        value = F.when(slot == place, F.expr(VALUES[name]).cast("double")).otherwise(value)
+    # Seconds for most types, minutes for nights.
+    unit = F.when(slot == RECORD_TYPES.index("SleepAnalysis"), 60).otherwise(1)
+    seconds = (F.col("event_id") % 600 * unit).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return base.select(
         "subject_id",
         F.lit("watch").alias("source_name"),
         F.lit("1").alias("source_version"),
         F.lit(None).cast("string").alias("device"),
-        "record_type",
+        _pick(RECORD_TYPES, "event_id % 18").alias("record_type"),
         F.lit("u").alias("unit"),
         F.col("ts").alias("creation_date"),
         F.col("ts").alias("start_date"),
-        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.when(night, seconds).otherwise(F.lit(0)),
-                                          F.when(night, F.lit(0)).otherwise(seconds).cast("decimal(18,6)"))).alias(
-            "end_date"
-        ),
+        (F.col("ts") + F.make_dt_interval(zero, zero, zero, seconds)).alias("end_date"),
         value.alias("value"),
     )
 

@@ -56,7 +56,7 @@ def parsed_records(t: Tables) -> DataFrame:
             "Record",
             {
                 "type": F.concat(kind, c("record_type")),
-                "sourceName": F.lit("Tom &amp; &quot;Watch&quot; > 1"),
+                "sourceName": F.when(F.col("value") % 2 == 0, "Tom &amp; &quot;Watch&quot; > 1").otherwise("Tom > 1"),
                 "startDate": _zoned(c("start_date")),
                 "endDate": _zoned(c("end_date")),
                 "value": F.coalesce(_text(c("value")), F.lit("HKCategoryValueSleepAnalysisAsleep")),
@@ -229,8 +229,7 @@ def _stats_row(t: Tables) -> DataFrame:
 
 def _json_payload(t: Tables) -> DataFrame:
     shown = ("steps", "heart_rate", "weight", "weekly_workouts", "running_pace")
-    datasets = dashboard_datasets(t, START, END)
-    return json_rows({name: datasets[name] for name in shown})
+    return json_rows(dashboard_datasets(t, START, END, shown))
 
 
 def _ranged(operator: Callable[..., DataFrame], **options) -> Callable[[Tables], DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from datetime import date
 from functools import reduce
 
@@ -12,43 +13,47 @@ from pulselake.operators import daily, routes, sleep, workouts
 from pulselake.tables import Tables
 
 
-def dashboard_datasets(t: Tables, s: date, e: date) -> dict[str, DataFrame]:
-    """Every series of the dashboard under its fixed name."""
-    return {
-        "steps": daily.steps_series(t, s, e),
-        "heart_rate": daily.heart_rate_series(t, s, e),
-        "activity_rings": daily.rings_series(t, s, e),
-        "sleep": sleep.sleep_series(t, s, e),
-        "workout_types": workouts.type_counts(t, s, e),
-        "running_pace": workouts.running_pace(t, s, e),
-        "weekly_workouts": workouts.weekly_counts(t, s, e),
-        "heatmap": workouts.workout_heatmap(t, s, e),
-        "day_of_week": daily.weekday_profile(t, s, e),
-        "correlation": daily.correlation_rows(t, s, e),
-        "vo2max": daily.vo2max_series(t, s, e),
-        "hrv": daily.hrv_series(t, s, e),
-        "respiratory": daily.respiratory_series(t, s, e),
-        "spo2": daily.spo2_series(t, s, e),
-        "sleep_stages": sleep.stages_series(t, s, e),
-        "walking_speed": daily.walking_speed_series(t, s, e),
-        "flights": daily.flights_series(t, s, e),
-        "running_mechanics": workouts.running_mechanics(t, s, e),
-        "running_distance": workouts.running_distance(t, s, e),
-        "cycling": workouts.cycling_sessions(t, s, e),
-        "weekly_volume": workouts.weekly_minutes(t, s, e),
-        "sleep_efficiency": sleep.efficiency_series(t, s, e),
-        "sleep_latency": sleep.latency_series(t, s, e),
-        "snore": sleep.snore_series(t, s, e),
-        "sleep_hr": sleep.night_heart_rate(t, s, e),
-        "sleep_regularity": sleep.regularity_series(t, s, e),
-        "sleep_environment": sleep.sleep_environment(t, s, e),
-        "sleep_impact": sleep.sleep_impact(t, s, e),
-        "weight": daily.weight_series(t, s, e),
-        "sleep_score": sleep.score_series(t, s, e),
-        "hr_zones": daily.heart_rate_zones(t, s, e),
-        "bmi": daily.bmi_series(t, s, e),
-        "routes": routes.workout_routes(t, s, e),
-    }
+# The fixed dataset names of the dashboard and the operator behind each.
+DATASETS: dict[str, Callable[[Tables, date, date], DataFrame]] = {
+    "steps": daily.steps_series,
+    "heart_rate": daily.heart_rate_series,
+    "activity_rings": daily.rings_series,
+    "sleep": sleep.sleep_series,
+    "workout_types": workouts.type_counts,
+    "running_pace": workouts.running_pace,
+    "weekly_workouts": workouts.weekly_counts,
+    "heatmap": workouts.workout_heatmap,
+    "day_of_week": daily.weekday_profile,
+    "correlation": daily.correlation_rows,
+    "vo2max": daily.vo2max_series,
+    "hrv": daily.hrv_series,
+    "respiratory": daily.respiratory_series,
+    "spo2": daily.spo2_series,
+    "sleep_stages": sleep.stages_series,
+    "walking_speed": daily.walking_speed_series,
+    "flights": daily.flights_series,
+    "running_mechanics": workouts.running_mechanics,
+    "running_distance": workouts.running_distance,
+    "cycling": workouts.cycling_sessions,
+    "weekly_volume": workouts.weekly_minutes,
+    "sleep_efficiency": sleep.efficiency_series,
+    "sleep_latency": sleep.latency_series,
+    "snore": sleep.snore_series,
+    "sleep_hr": sleep.night_heart_rate,
+    "sleep_regularity": sleep.regularity_series,
+    "sleep_environment": sleep.sleep_environment,
+    "sleep_impact": sleep.sleep_impact,
+    "weight": daily.weight_series,
+    "sleep_score": sleep.score_series,
+    "hr_zones": daily.heart_rate_zones,
+    "bmi": daily.bmi_series,
+    "routes": routes.workout_routes,
+}
+
+
+def dashboard_datasets(t: Tables, s: date, e: date, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Every series of the dashboard under its fixed name, or only the named ones."""
+    return {name: DATASETS[name](t, s, e) for name in (DATASETS if names is None else names)}
 
 
 def json_rows(datasets: dict[str, DataFrame]) -> DataFrame:

@@ -25,7 +25,6 @@ BIRTH_ATTRIBUTE = "HKCharacteristicTypeIdentifierDateOfBirth"
 SEX_ATTRIBUTE = "HKCharacteristicTypeIdentifierBiologicalSex"
 
 _ATTRIBUTES = r"""((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*+)\s*/?>"""
-_ZONED = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) [+-]\d{4}"
 _SUBJECT_IN_PATH = r"subject_id=(\d+)"
 
 
@@ -53,16 +52,22 @@ def read_tags(
 
 
 def _attributes(tags: DataFrame, element: str, names: list[str]) -> DataFrame:
-    """The named attributes of one kind of element as text columns; missing and empty ones are NULL."""
-    pattern = rf"^{element}{_ATTRIBUTES}"
-    schema = ", ".join(f"`_{n}` string" for n in names)
-    xml = F.concat(F.lit("<e"), F.regexp_extract("tag", pattern, 1), F.lit("/>"))
-    parsed = F.from_xml(xml, schema, {"nullValue": "\u0000"}).alias("a")
-    return (
-        tags.where(F.col("tag").startswith(element) & F.col("tag").rlike(pattern))
-        .select("subject_id", parsed)
-        .select("subject_id", *[F.nullif(F.col(f"a._{n}"), F.lit("")).alias(n) for n in names])
+    """The named attributes of one kind of element as text columns; missing and empty ones are NULL.
+
+    One regular expression both picks the tags (no match, no row) and cuts out the attributes.
+    """
+    opening = F.lit(rf"^{element}{_ATTRIBUTES}")
+    found = tags.where(F.col("tag").startswith(element)).select(
+        "subject_id", F.explode(F.regexp_extract_all("tag", opening, F.lit(1))).alias("text")
     )
+    schema = ", ".join(f"`_{n}` string" for n in names)
+    xml = F.from_xml(F.concat(F.lit("<e"), F.col("text"), F.lit("/>")), schema, {"nullValue": "\u0000"})
+
+    def value(name: str) -> Column:
+        text = F.col(f"xml._{name}")
+        return F.when(text != "", text).alias(name)
+
+    return found.select("subject_id", xml.alias("xml")).select("subject_id", *[value(n) for n in names])
 
 
 def short_type(name: Column) -> Column:
@@ -74,9 +79,9 @@ def short_type(name: Column) -> Column:
 
 
 def wall_clock(text: Column) -> Column:
-    """Timestamp as shown on the subject's clock: the UTC offset is dropped, not applied."""
-    local = F.regexp_extract(text, _ZONED, 1)
-    return F.coalesce(F.nullif(local, F.lit("")), text).try_cast("timestamp_ntz")
+    """Timestamp as shown on the subject's clock: a UTC offset behind the seconds is dropped, not applied."""
+    zoned = F.substring(text, 20, 2).isin(" +", " -")
+    return F.when(zoned, F.substring(text, 1, 19)).otherwise(text).try_cast("timestamp_ntz")
 
 
 def parse_records(tags: DataFrame) -> DataFrame:
