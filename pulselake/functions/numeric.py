@@ -28,7 +28,8 @@ def half_even(x: Column, digits: int = 0) -> Column:
     """Half-to-even on the exact binary value, as Python's ``round`` does.
 
     ``x * 10^digits`` may land on a tie only because the product was rounded, so a tie is decided by the exact
-    remainder of the product (the classic two-product): above it round up, below it down, else to even.
+    remainder of the product (the classic two-product): above it round up, below it down, else to even. Exact as
+    long as ``x * 10^digits`` stays below 2^52.
     """
     if digits == 0:
         return F.rint(x)
