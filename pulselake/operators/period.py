@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,31 +171,34 @@ def period_deltas(t: Tables, s: date, e: date) -> DataFrame:
     )
 
 
+def _zeroed(stats: DataFrame, zeros: tuple[str, ...]) -> DataFrame:
+    """0 instead of NULL in the named columns."""
+    types = dict(stats.dtypes)
+    return stats.withColumns({c: F.coalesce(c, F.lit(0).cast(types[c])) for c in zeros}) if zeros else stats
+
+
 def _for_all(t: Tables, stats: DataFrame, zeros: tuple[str, ...]) -> DataFrame:
     """Every subject, with 0 instead of NULL in the named columns."""
-    shown = t.subjects.select("subject_id").join(stats, "subject_id", "left")
-    types = dict(shown.dtypes)
-    return shown.withColumns({c: F.coalesce(c, F.lit(0).cast(types[c])) for c in zeros})
+    return _zeroed(t.subjects.select("subject_id").join(stats, "subject_id", "left"), zeros)
 
 
-def step_stats(t: Tables, s: date, e: date) -> DataFrame:
+def _step_rows(t: Tables, s: date, e: date) -> DataFrame:
     ps, _ = prior_period(s, e)
     daily = with_period(
         by_day(records_between(t, ps, e, "StepCount"), to_long(F.sum("value")).alias("steps")), s, e
     )
     now = F.when(F.col("period") == "current", F.col("steps"))
     before = F.when(F.col("period") == "prior", F.col("steps"))
-    stats = daily.groupBy("subject_id").agg(
+    return daily.groupBy("subject_id").agg(
         F.sum(now).alias("total"),
         to_long(sql_round(F.avg(now))).alias("daily_avg"),
         F.min(now).alias("min_day"),
         F.max(now).alias("max_day"),
         to_long(sql_round(F.avg(before))).alias("prior_daily_avg"),
     )
-    return _for_all(t, stats, ("total", "daily_avg", "min_day", "max_day", "prior_daily_avg"))
 
 
-def heart_rate_stats(t: Tables, s: date, e: date) -> DataFrame:
+def _heart_rate_rows(t: Tables, s: date, e: date) -> DataFrame:
     ps, _ = prior_period(s, e)
     heart, resting = when_type("HeartRate"), when_type("RestingHeartRate")
     daily = with_period(
@@ -212,7 +216,7 @@ def heart_rate_stats(t: Tables, s: date, e: date) -> DataFrame:
     def of(period: str, column: str) -> Column:
         return F.when(F.col("period") == period, F.col(column))
 
-    stats = daily.groupBy("subject_id").agg(
+    return daily.groupBy("subject_id").agg(
         sql_round(F.avg(of("current", "resting_hr")), 1).alias("avg_resting"),
         sql_round(F.min(of("current", "resting_hr")), 1).alias("min_resting"),
         sql_round(F.max(of("current", "resting_hr")), 1).alias("max_resting"),
@@ -221,10 +225,9 @@ def heart_rate_stats(t: Tables, s: date, e: date) -> DataFrame:
         sql_round(F.max(of("current", "max_hr")), 1).alias("max_overall"),
         sql_round(F.avg(of("prior", "resting_hr")), 1).alias("prior_avg_resting"),
     )
-    return _for_all(t, stats, ())
 
 
-def sleep_stats(t: Tables, s: date, e: date) -> DataFrame:
+def _sleep_rows(t: Tables, s: date, e: date) -> DataFrame:
     ps, _ = prior_period(s, e)
     nights = with_period(nights_between(t, ps, e), s, e)
     now = F.when(F.col("period") == "current", F.col("duration_seconds"))
@@ -248,8 +251,7 @@ def sleep_stats(t: Tables, s: date, e: date) -> DataFrame:
             ],
         )
     )
-    shown = _for_all(t, durations, ("nights_tracked",)).join(stages, "subject_id", "left")
-    return shown.select(
+    return durations.join(stages, "subject_id", "full").select(
         "subject_id",
         "avg_hours",
         "min_hours",
@@ -264,8 +266,8 @@ def sleep_stats(t: Tables, s: date, e: date) -> DataFrame:
     )
 
 
-def workout_totals(t: Tables, s: date, e: date) -> DataFrame:
-    stats = (
+def _workout_rows(t: Tables, s: date, e: date) -> DataFrame:
+    return (
         workouts_between(t, s, e)
         .groupBy("subject_id")
         .agg(
@@ -275,7 +277,6 @@ def workout_totals(t: Tables, s: date, e: date) -> DataFrame:
             sql_round(F.avg("total_energy_burned")).alias("avg_calories"),
         )
     )
-    return _for_all(t, stats, ("count", "total_duration_min", "total_distance", "avg_calories"))
 
 
 def workout_types(t: Tables, s: date, e: date, top: int = TOP_TYPES) -> DataFrame:
@@ -293,11 +294,11 @@ def workout_types(t: Tables, s: date, e: date, top: int = TOP_TYPES) -> DataFram
     return per_type.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
 
 
-def ring_stats(t: Tables, s: date, e: date) -> DataFrame:
+def _ring_rows(t: Tables, s: date, e: date) -> DataFrame:
     """Days tracked, share of days each ring closed, and days with all three; NULL shares without days."""
     days = t.activity.where(between_days(F.col("date_components"), s, e))
     closed = [ring_closed(r) for r in RINGS]
-    stats = days.groupBy("subject_id").agg(
+    return days.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("days_tracked"),
         *[
             sql_round(ratio(F.sum(c) * 100.0, F.count(F.lit(1))), 1).alias(name)
@@ -305,19 +306,51 @@ def ring_stats(t: Tables, s: date, e: date) -> DataFrame:
         ],
         F.sum(F.least(*closed)).cast("bigint").alias("all_rings_closed_days"),
     )
-    return _for_all(t, stats, ("days_tracked",))
+
+
+def _profile_rows(t: Tables, s: date, e: date) -> DataFrame:
+    return profile_wide(t.profile)
+
+
+# Per section: its rows, and the columns showing 0 for a subject without data.
+SECTIONS: dict[str, tuple[Callable[[Tables, date, date], DataFrame], tuple[str, ...]]] = {
+    "steps": (_step_rows, ("total", "daily_avg", "min_day", "max_day", "prior_daily_avg")),
+    "heart_rate": (_heart_rate_rows, ()),
+    "sleep": (_sleep_rows, ("nights_tracked",)),
+    "workouts": (_workout_rows, ("count", "total_duration_min", "total_distance", "avg_calories")),
+    "activity_rings": (_ring_rows, ("days_tracked",)),
+    "profile": (_profile_rows, ()),
+}
+
+
+def section_stats(t: Tables, s: date, e: date, section: str) -> DataFrame:
+    """One section of the period statistics for every subject."""
+    rows, zeros = SECTIONS[section]
+    return _for_all(t, rows(t, s, e), zeros)
+
+
+def step_stats(t: Tables, s: date, e: date) -> DataFrame:
+    return section_stats(t, s, e, "steps")
+
+
+def heart_rate_stats(t: Tables, s: date, e: date) -> DataFrame:
+    return section_stats(t, s, e, "heart_rate")
+
+
+def sleep_stats(t: Tables, s: date, e: date) -> DataFrame:
+    return section_stats(t, s, e, "sleep")
+
+
+def workout_totals(t: Tables, s: date, e: date) -> DataFrame:
+    return section_stats(t, s, e, "workouts")
+
+
+def ring_stats(t: Tables, s: date, e: date) -> DataFrame:
+    return section_stats(t, s, e, "activity_rings")
 
 
 def period_stats(t: Tables, s: date, e: date) -> DataFrame:
     """All period statistics of a subject in one row of structs: the input of the digest."""
-    parts = {
-        "steps": step_stats(t, s, e),
-        "heart_rate": heart_rate_stats(t, s, e),
-        "sleep": sleep_stats(t, s, e),
-        "workouts": workout_totals(t, s, e),
-        "activity_rings": ring_stats(t, s, e),
-        "profile": _for_all(t, profile_wide(t.profile), ()),
-    }
     # At most ten short rows per subject by construction of ``workout_types``.
     types = (
         workout_types(t, s, e)
@@ -325,13 +358,16 @@ def period_stats(t: Tables, s: date, e: date) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rank", "type", "count", "total_min", "total_dist"))).alias("by_type"))
     )
     row = t.subjects.select("subject_id")
-    for name, part in parts.items():
-        columns = [c for c in part.columns if c != "subject_id"]
-        row = row.join(part.select("subject_id", F.struct(*columns).alias(name)), "subject_id", "left")
+    for name, (section_rows, zeros) in SECTIONS.items():
+        part = _zeroed(section_rows(t, s, e), zeros)
+        fields = [f for f in part.schema if f.name != "subject_id"]
+        absent = F.struct(*[F.lit(0 if f.name in zeros else None).cast(f.dataType).alias(f.name) for f in fields])
+        packed = part.select("subject_id", F.struct(*[f.name for f in fields]).alias(name))
+        row = row.join(packed, "subject_id", "left").withColumn(name, F.coalesce(name, absent))
     period = F.struct(
         date_lit(s).alias("start"), date_lit(e).alias("end"), F.lit(period_days(s, e)).alias("days")
     ).alias("period")
-    return row.join(types, "subject_id", "left").select("subject_id", period, *parts, "by_type")
+    return row.join(types, "subject_id", "left").select("subject_id", period, *SECTIONS, "by_type")
 
 
 def monthly_flags(monthly: DataFrame) -> DataFrame:

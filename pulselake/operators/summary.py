@@ -33,12 +33,12 @@ from pulselake.operators.sleep import (
 )
 from pulselake.operators.views import by_day, nights_between, when_type
 from pulselake.operators.workouts import (
+    best_streaks,
     cycling_sessions,
     distance_totals,
     distances_by_session,
     is_kind,
     is_strength,
-    longest_streak,
     running_distance,
     weekly_counts,
     weekly_minutes,
@@ -171,6 +171,7 @@ _ZERO_LONG = (
     "marathons",
     "half_marathons",
     "total_run_mi",
+    "workout_streak",
     "active_days",
     "cycling_count",
     "total_cycling_mi",
@@ -234,7 +235,7 @@ def summary_cards(t: Tables, s: date, e: date) -> DataFrame:
         _stage_cards(t, s, e),
         _ring_cards(t, s, e),
         distance_totals(distances_by_session(t, s, e)),
-        longest_streak(t, s, e),
+        best_streaks(t, s, e),
     ]
     row = t.subjects.select("subject_id")
     for part in parts:

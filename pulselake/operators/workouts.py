@@ -189,10 +189,15 @@ def _streaks(days: DataFrame) -> DataFrame:
     )
 
 
+def best_streaks(t: Tables, s: date, e: date) -> DataFrame:
+    """The longest streak of each subject with a workout."""
+    runs = _streaks(workout_days(workouts_between(t, s, e)))
+    return runs.groupBy("subject_id").agg(F.max("length").alias("workout_streak"))
+
+
 def longest_streak(t: Tables, s: date, e: date) -> DataFrame:
-    best = _streaks(workout_days(workouts_between(t, s, e))).groupBy("subject_id").agg(F.max("length").alias("best"))
-    return t.subjects.join(best, "subject_id", "left").select(
-        "subject_id", F.coalesce("best", F.lit(0).cast("bigint")).alias("workout_streak")
+    return t.subjects.join(best_streaks(t, s, e), "subject_id", "left").select(
+        "subject_id", F.coalesce("workout_streak", F.lit(0).cast("bigint")).alias("workout_streak")
     )
 
 

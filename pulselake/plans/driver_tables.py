@@ -7,8 +7,9 @@ order and Spark and the SQL check agree to the last digit. ``DERIVED_SQL`` state
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.tables import RECORD_TYPES, SCHEMAS, Tables
@@ -51,67 +52,61 @@ VALUES = {
 }
 
 
-def _pick(names: list[str], index: str) -> Column:
-    array = ", ".join(f"'{n}'" for n in names)
-    return F.expr(f"element_at(array({array}), cast({index} as int) + 1)")
+def _pick(names: list[str], index: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"element_at(array({listed}), cast({index} as int) + 1)"
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a subject, whole-second times spread over three months, and the value in quarters."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    whole_second = F.expr("ts - make_dt_interval(0, 0, 0, extract(second from ts) - second(ts))")
-    return events.select(
+    whole_second = "ts - make_dt_interval(0, 0, 0, extract(second from ts) - second(ts))"
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
         "event_id",
         "event_type",
-        F.expr("user_id div 15").alias("subject_id"),
-        whole_second.alias("ts"),
-        F.expr("cast(30 * (user_id % 3) as int)").alias("shift"),
-        F.expr("floor(value * 4) / 4.0D").alias("v"),
-        F.expr("event_id div 18").alias("q"),
-    ).withColumn("ts", F.expr("ts + make_dt_interval(shift)"))
+        "user_id div 15 as subject_id",
+        f"{whole_second} + make_dt_interval(cast(30 * (user_id % 3) as int)) as ts",
+        "floor(value * 4) / 4.0D as v",
+        "event_id div 18 as q",
+    )
 
 
 def records(base: DataFrame) -> DataFrame:
-    slot = F.col("event_id") % len(RECORD_TYPES)
-    value = F.lit(None).cast("double")
-    for place, name in enumerate(RECORD_TYPES):
-        value = F.when(slot == place, F.expr(VALUES[name]).cast("double")).otherwise(value)
+    slot = f"event_id % {len(RECORD_TYPES)}"
+    values = " ".join(f"when {place} then {VALUES[name]}" for place, name in enumerate(RECORD_TYPES))
     # Seconds for most types, minutes for nights.
-    unit = F.when(slot == RECORD_TYPES.index("SleepAnalysis"), 60).otherwise(1)
-    seconds = (F.col("event_id") % 600 * unit).cast("decimal(18,6)")
-    zero = F.lit(0)
-    return base.select(
+    night = RECORD_TYPES.index("SleepAnalysis")
+    seconds = f"cast(event_id % 600 * if({slot} = {night}, 60, 1) as decimal(18, 6))"
+    return base.selectExpr(
         "subject_id",
-        F.lit("watch").alias("source_name"),
-        F.lit("1").alias("source_version"),
-        F.lit(None).cast("string").alias("device"),
-        _pick(RECORD_TYPES, "event_id % 18").alias("record_type"),
-        F.lit("u").alias("unit"),
-        F.col("ts").alias("creation_date"),
-        F.col("ts").alias("start_date"),
-        (F.col("ts") + F.make_dt_interval(zero, zero, zero, seconds)).alias("end_date"),
-        value.alias("value"),
+        "'watch' as source_name",
+        "'1' as source_version",
+        "cast(null as string) as device",
+        f"{_pick(RECORD_TYPES, slot)} as record_type",
+        "'u' as unit",
+        "ts as creation_date",
+        "ts as start_date",
+        f"ts + make_dt_interval(0, 0, 0, {seconds}) as end_date",
+        f"cast(case {slot} {values} end as double) as value",
     )
 
 
 def workouts(base: DataFrame) -> DataFrame:
-    active = base.where("event_type = 'purchase' and (day(ts) + subject_id) % 4 <> 0")
-    minutes = F.expr("if(event_id % 11 = 0, 4, cast(60 + event_id % 120 as int))")
-    return active.select(
+    minutes = "if(event_id % 11 = 0, 4, cast(60 + event_id % 120 as int))"
+    return base.where("event_type = 'purchase' and (day(ts) + subject_id) % 4 <> 0").selectExpr(
         "subject_id",
-        F.lit("watch").alias("source_name"),
-        F.lit("1").alias("source_version"),
-        F.lit(None).cast("string").alias("device"),
-        F.col("ts").alias("creation_date"),
-        F.col("ts").alias("start_date"),
-        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("end_date"),
-        F.concat(F.lit("HKWorkoutActivityType"), _pick(WORKOUT_TYPES, "event_id % 8")).alias("workout_activity_type"),
-        minutes.cast("double").alias("duration"),
-        F.lit("min").alias("duration_unit"),
-        F.expr("if(event_id % 5 = 0, null, v / 16D)").alias("total_distance"),
-        F.expr("if(event_id % 2 = 0, 'km', 'mi')").alias("total_distance_unit"),
-        F.expr("if(event_id % 7 = 0, null, v * 2D)").alias("total_energy_burned"),
-        F.lit("kcal").alias("total_energy_burned_unit"),
+        "'watch' as source_name",
+        "'1' as source_version",
+        "cast(null as string) as device",
+        "ts as creation_date",
+        "ts as start_date",
+        f"ts + make_dt_interval(0, 0, {minutes}) as end_date",
+        f"concat('HKWorkoutActivityType', {_pick(WORKOUT_TYPES, 'event_id % 8')}) as workout_activity_type",
+        f"cast({minutes} as double) as duration",
+        "'min' as duration_unit",
+        "if(event_id % 5 = 0, null, v / 16D) as total_distance",
+        "if(event_id % 2 = 0, 'km', 'mi') as total_distance_unit",
+        "if(event_id % 7 = 0, null, v * 2D) as total_energy_burned",
+        "'kcal' as total_energy_burned_unit",
     )
 
 
@@ -119,16 +114,16 @@ def activity(base: DataFrame) -> DataFrame:
     daily = base.groupBy("subject_id", F.to_date("ts").alias("d")).agg(
         F.sum("v").alias("energy"), F.count(F.lit(1)).alias("n"), F.sum(F.expr("event_id % 3")).alias("m")
     )
-    return daily.where("(day(d) + subject_id) % 9 <> 0").select(
+    return daily.where("(day(d) + subject_id) % 9 <> 0").selectExpr(
         "subject_id",
-        F.col("d").alias("date_components"),
-        F.col("energy").alias("active_energy_burned"),
-        F.expr("if((day(d) + subject_id) % 13 = 0, 0D, 400D)").alias("active_energy_burned_goal"),
-        F.lit("kcal").alias("active_energy_burned_unit"),
-        F.expr("3D * n").alias("apple_exercise_time"),
-        F.lit(30.0).alias("apple_exercise_time_goal"),
-        F.expr("m + 0.5D").alias("apple_stand_hours"),
-        F.lit(10.0).alias("apple_stand_hours_goal"),
+        "d as date_components",
+        "energy as active_energy_burned",
+        "if((day(d) + subject_id) % 13 = 0, 0D, 400D) as active_energy_burned_goal",
+        "'kcal' as active_energy_burned_unit",
+        "3D * n as apple_exercise_time",
+        "30D as apple_exercise_time_goal",
+        "m + 0.5D as apple_stand_hours",
+        "10D as apple_stand_hours_goal",
     )
 
 
@@ -152,12 +147,16 @@ _SLEEP = {
 }
 
 
+def _typed(table: str, columns: dict[str, str]) -> list[str]:
+    """Expressions for all columns of a table in order and type; columns not given are NULL."""
+    return [
+        f"cast({columns.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in SCHEMAS[table].fields
+    ]
+
+
 def sleep(base: DataFrame) -> DataFrame:
     nights = base.where("event_type = 'signup' and event_id % 3 <> 2")
-    columns = [F.col("subject_id")]
-    for field in SCHEMAS["sleep"].fields[1:]:
-        columns.append(F.expr(_SLEEP.get(field.name, "null")).cast(field.dataType).alias(field.name))
-    return nights.select(*columns)
+    return nights.selectExpr(*_typed("sleep", {"subject_id": "subject_id", **_SLEEP}))
 
 
 def route_points(base: DataFrame) -> DataFrame:
@@ -176,7 +175,7 @@ def route_points(base: DataFrame) -> DataFrame:
         "horiz_accuracy": "5D",
         "vert_accuracy": "3D",
     }
-    return points.select(*[F.expr(x).cast(SCHEMAS["route_points"][n].dataType).alias(n) for n, x in columns.items()])
+    return points.selectExpr(*_typed("route_points", columns))
 
 
 def subjects(base: DataFrame) -> DataFrame:
@@ -193,16 +192,17 @@ def profile(base: DataFrame) -> DataFrame:
         "weight_lbs": "cast(140 + subject_id % 80 as string)",
         "height_in": "if(subject_id % 3 = 0, null, cast(60 + subject_id % 15 as string))",
     }
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(x).alias("value")) for k, x in fields.items()])
+    pairs = ", ".join(f"'{k}', {x}" for k, x in fields.items())
     return (
         subjects(base)
-        .select("subject_id", F.explode(pairs).alias("p"))
-        .select("subject_id", "p.key", "p.value")
+        .selectExpr("subject_id", f"stack({len(fields)}, {pairs}) as (key, value)")
         .where("value is not null")
     )
 
 
+@lru_cache(maxsize=8)
 def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables, as lazy plans; keeping the plans saves analysing them again for every query."""
     base = base_events(spark, sf_dir)
     return Tables(
         records=records(base),
