@@ -343,13 +343,12 @@ def heart_rate_zones(t: Tables, s: date, e: date, max_hr: int | None = None) ->
     ``max_hr`` fixes one maximum for all; by default each subject's own maximum applies. Samples are folded per
     (subject, week, rate) before the maximum is joined, so the raw table is never joined.
     """
-    minutes = F.greatest(
-        F.coalesce(elapsed_seconds(F.col("start_date"), F.col("end_date")) / 60.0, F.lit(1.0)), F.lit(1.0)
-    )
+    # Whole seconds add up exactly in any order; they become minutes only at the end.
+    seconds = F.greatest(elapsed_seconds(F.col("start_date"), F.col("end_date")), F.lit(60.0))
     folded = (
         records_between(t, s, e, "HeartRate")
         .groupBy("subject_id", week_start(day(F.col("start_date"))).alias("week"), "value")
-        .agg(F.sum(minutes).alias("minutes"))
+        .agg(F.sum(seconds).alias("seconds"))
     )
     if max_hr is None:
         folded = folded.join(max_heart_rate(t, e), "subject_id", "left")
@@ -366,5 +365,5 @@ def heart_rate_zones(t: Tables, s: date, e: date, max_hr: int | None = None) ->
         "max_zone": rate >= bounds[3],
     }
     return folded.groupBy("subject_id", "week").agg(
-        *[to_long(F.sum(F.when(cond, F.col("minutes")).otherwise(0.0))).alias(name) for name, cond in zones.items()]
+        *[to_long(F.sum(F.when(cond, F.col("seconds")).otherwise(0.0)) / 60).alias(name) for name, cond in zones.items()]
     )

@@ -52,16 +52,16 @@ def stages_series(t: Tables, s: date, e: date) -> DataFrame:
 _NIGHT_ORDER = ("start_time", "end_time", "time_in_bed_seconds", "time_asleep_seconds")
 
 
-def trailing_nights(nights: DataFrame, **aggregates: Column) -> DataFrame:
-    """Aggregates over each night and the six before it."""
+def trailing_mean(nights: DataFrame, metric: str) -> DataFrame:
+    """Add ``mean``, the metric's mean over each night and the six before it; equal times fall to the metric."""
     day_number = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    order = [F.asc_nulls_last(c) for c in _NIGHT_ORDER]
-    return trailing_over_rows(nights, ["subject_id"], day_number, order, TREND_ROWS, aggregates)
+    order = [F.asc_nulls_last(c) for c in (*_NIGHT_ORDER, metric)]
+    return trailing_over_rows(nights, ["subject_id"], day_number, order, TREND_ROWS, {"mean": F.avg(metric)})
 
 
 def _trend(nights: DataFrame, metric: Column) -> DataFrame:
     measured = nights.select("subject_id", "date", *_NIGHT_ORDER, metric.alias("metric"))
-    return trailing_nights(measured, mean=F.avg("metric")).select(
+    return trailing_mean(measured, "metric").select(
         "subject_id",
         "date",
         sql_round(F.col("metric"), 1).alias("val"),
@@ -231,6 +231,6 @@ def score_expression() -> Column:
 def score_series(t: Tables, s: date, e: date) -> DataFrame:
     nights = app_nights_between(t, s, e).where(F.col("time_asleep_seconds") > 0)
     scored = nights.select("subject_id", "date", *_NIGHT_ORDER, score_expression().alias("score"))
-    return trailing_nights(scored, mean=F.avg("score")).select(
+    return trailing_mean(scored, "score").select(
         "subject_id", "date", "score", to_long(F.col("mean")).alias("score_7d_avg")
     )

@@ -199,7 +199,7 @@ sampled AS (
         WINDOW t AS (PARTITION BY p.subject_id, p.gpx_file ORDER BY p.recorded_at, p.latitude, p.longitude))
   WHERE pos = 1 OR pos = total OR pos % greatest(1, pt_count // 4) = 0),
 scores AS (
-  SELECT subject_id, d AS date, start_time, end_time,
+  SELECT subject_id, d AS date, start_time, end_time, time_in_bed_seconds, time_asleep_seconds,
          greatest(0, least(100, (
            (CASE WHEN h < 7 THEN greatest(0, h / 7 * 100) WHEN h > 8 THEN greatest(0, 100 - (h - 8) * 25) ELSE 100 END)
              * 0.4::DOUBLE
@@ -270,7 +270,8 @@ rides AS (
 
 _REC = f"record_type = '{{}}' AND start_date::DATE BETWEEN {S} AND {E}"
 _NIGHT_FRAME = (
-    "(PARTITION BY subject_id ORDER BY d, start_time, end_time ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+    "(PARTITION BY subject_id ORDER BY {}, start_time, end_time, time_in_bed_seconds, time_asleep_seconds, {} "
+    "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 )
 
 
@@ -284,7 +285,7 @@ FROM records WHERE {_REC.format(kind)} GROUP BY subject_id, start_date::DATE"""
 
 def _night_trend(metric: str, keep: str) -> str:
     return f"""
-SELECT subject_id, d AS date, round({metric}, 1) AS val, round(avg({metric}) OVER {_NIGHT_FRAME}, 1) AS ma
+SELECT subject_id, d AS date, round({metric}, 1) AS val, round(avg({metric}) OVER {_NIGHT_FRAME.format('d', metric)}, 1) AS ma
 FROM z WHERE {keep}"""
 
 
@@ -339,10 +340,8 @@ _SLEEP = """
 SELECT subject_id, date, source, round(duration_seconds / 3600, 2) AS hours, sleep_quality AS quality
 FROM good_nights"""
 
-_SCORES = """
-SELECT subject_id, date, score,
-       (avg(score) OVER (PARTITION BY subject_id ORDER BY date, start_time, end_time
-        ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))::BIGINT AS score_7d_avg
+_SCORES = f"""
+SELECT subject_id, date, score, (avg(score) OVER {_NIGHT_FRAME.format("date", "score")})::BIGINT AS score_7d_avg
 FROM scores"""
 
 _EFFICIENCY = _night_trend("time_asleep_seconds / nullif(time_in_bed_seconds, 0) * 100", "time_in_bed_seconds > 0")
@@ -385,12 +384,12 @@ WHERE t.date BETWEEN {S} AND {E} AND t.steps IS NOT NULL"""
 
 _ZONES = f"""
 SELECT r.subject_id, date_trunc('week', r.start_date)::DATE AS week,
-       coalesce(sum(m) FILTER (value < 0.5 * max_hr), 0)::BIGINT AS rest,
-       coalesce(sum(m) FILTER (value >= 0.5 * max_hr AND value < 0.6 * max_hr), 0)::BIGINT AS fat_burn,
-       coalesce(sum(m) FILTER (value >= 0.6 * max_hr AND value < 0.7 * max_hr), 0)::BIGINT AS cardio,
-       coalesce(sum(m) FILTER (value >= 0.7 * max_hr AND value < 0.85 * max_hr), 0)::BIGINT AS peak,
-       coalesce(sum(m) FILTER (value >= 0.85 * max_hr), 0)::BIGINT AS max_zone
-FROM (SELECT *, greatest((epoch(end_date) - epoch(start_date)) / 60, 1) AS m FROM records
+       (coalesce(sum(m) FILTER (value < 0.5 * max_hr), 0) / 60)::BIGINT AS rest,
+       (coalesce(sum(m) FILTER (value >= 0.5 * max_hr AND value < 0.6 * max_hr), 0) / 60)::BIGINT AS fat_burn,
+       (coalesce(sum(m) FILTER (value >= 0.6 * max_hr AND value < 0.7 * max_hr), 0) / 60)::BIGINT AS cardio,
+       (coalesce(sum(m) FILTER (value >= 0.7 * max_hr AND value < 0.85 * max_hr), 0) / 60)::BIGINT AS peak,
+       (coalesce(sum(m) FILTER (value >= 0.85 * max_hr), 0) / 60)::BIGINT AS max_zone
+FROM (SELECT *, greatest(epoch(end_date) - epoch(start_date), 60) AS m FROM records
       WHERE {_REC.format("HeartRate")}) r JOIN top_rates t ON t.subject_id = r.subject_id
 GROUP BY 1, 2"""
 
