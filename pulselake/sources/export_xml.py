@@ -51,6 +51,19 @@ def read_tags(
     return lines.select(subject_column(subject_id).alias("subject_id"), F.col("value").alias("tag"))
 
 
+def listed_subjects(
+    spark: SparkSession, path: str, subject_id: int | None = None, file_name: str = "export.xml"
+) -> DataFrame:
+    """The subjects having a file under ``path``, from the file listing alone: no content is read."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", file_name)
+        .load(path)
+    )
+    return files.select(subject_column(subject_id).alias("subject_id")).distinct()
+
+
 def _attributes(tags: DataFrame, element: str, names: list[str]) -> DataFrame:
     """The named attributes of one kind of element as text columns; missing and empty ones are NULL.
 

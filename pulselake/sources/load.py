@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.operators.profile import upsert_profile
-from pulselake.sources.export_xml import parse_activity, parse_profile, parse_records, parse_workouts, read_tags
+from pulselake.sources.export_xml import (
+    listed_subjects,
+    parse_activity,
+    parse_profile,
+    parse_records,
+    parse_workouts,
+    read_tags,
+)
 from pulselake.sources.gpx import read_routes
 from pulselake.sources.sleep_csv import read_nights
 from pulselake.tables import SCHEMAS, Tables, empty_tables
@@ -22,24 +30,33 @@ def read_export(
     sleep_path: str | None = None,
     subject_id: int | None = None,
     profile: DataFrame | None = None,
+    staging: str | None = None,
 ) -> Tables:
     """All tables of the (unpacked) exports under ``path``, lazily.
 
     One subject per call with ``subject_id``, or many at once from folders named ``subject_id=<n>``. An existing
-    ``profile`` is kept and updated from the export. Several kinds of element share the same text scan definition.
+    ``profile`` is kept and updated from the export. Storing the tables scans the XML once per kind of element; with
+    a shared ``staging`` folder the few tags that are not records are written there first, which saves two scans.
     """
     empty = empty_tables(spark)
     tags = read_tags(spark, path, subject_id)
-    found = parse_profile(tags)
+    others = tags
+    if staging:
+        folder = f"{staging}/tags-{uuid4().hex}"
+        tags.where(F.col("tag").rlike(r"^(Workout|ActivitySummary|Me)\s")).write.parquet(folder)
+        others = spark.read.schema(tags.schema).parquet(folder)
+    found = parse_profile(others)
     tables = {
         "records": parse_records(tags),
-        "workouts": parse_workouts(tags),
-        "activity": parse_activity(tags),
+        "workouts": parse_workouts(others),
+        "activity": parse_activity(others),
         "route_points": read_routes(spark, path, subject_id),
         "sleep": read_nights(spark, sleep_path, subject_id) if sleep_path else empty.sleep,
         "profile": upsert_profile(empty.profile if profile is None else profile, found),
     }
-    everyone = [tags.select("subject_id")] + ([tables["sleep"].select("subject_id")] if sleep_path else [])
+    everyone = [listed_subjects(spark, path, subject_id)]
+    if sleep_path:
+        everyone.append(listed_subjects(spark, sleep_path, subject_id, "*.csv"))
     subjects = reduce(DataFrame.unionByName, everyone).distinct()
     return Tables(**tables, subjects=subjects)
 

@@ -176,8 +176,11 @@ def test_load_store_reload(spark, export, tmp_path):
     known = frame(spark, "profile", [{"subject_id": 7, "key": "age", "value": "35"}, {"subject_id": 7, "key": "sex", "value": "female"}])
     loaded = read_export(spark, str(export / "exports"), str(export / "nights"), profile=known)
     expected = {"records": 3, "workouts": 1, "activity": 1, "route_points": 3, "sleep": 1, "profile": 3, "subjects": 1}
-    for _ in range(2):
-        refresh(loaded, root)
+    staged = read_export(
+        spark, str(export / "exports"), str(export / "nights"), profile=known, staging=str(tmp_path / "staging")
+    )
+    for tables in (loaded, loaded, staged):
+        refresh(tables, root)
         assert {r["table"]: r["rows"] for r in row_counts(open_tables(spark, root)).collect()} == expected
     stored = open_tables(spark, root)
     assert rows(stored.profile) == [("age", "35"), ("date_of_birth", "1990-05-17"), ("sex", "male")]
