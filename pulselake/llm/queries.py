@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, toxicity
+from . import byte_bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
 from .common import documents, labels
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files have ``name``."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -22,8 +42,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_pattern())
+
+
+QUERIES = (
+    op3_exact_dedup,
+    op4_secret_scans,
+    op5_quality_rules,
+    op7_toxicity,
+    op8_best_fit_packing,
+    op10_byte_bpe,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_quality_rules, op7_toxicity)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
