@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
 from .common import documents, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,10 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_near_dedup,
     op3_exact_dedup,
     op4_secret_scans,
     op5_quality_rules,
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_near_dedup": near_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
