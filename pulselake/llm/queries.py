@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 from .common import documents, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_pattern())
 
@@ -61,6 +65,7 @@ QUERIES = (
     op5_quality_rules,
     op7_toxicity,
     op8_best_fit_packing,
+    op9_substring_dedup,
     op10_byte_bpe,
 )
 
@@ -70,4 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": near_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_near_dedup": near_dedup.ORACLE,
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op9_substring_dedup": substring_dedup.ORACLE,
+    }
