@@ -1,26 +1,53 @@
-"""A corpus pipeline over ``documents``: each stage works on what its predecessor kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Quality rules drop documents, exact and near deduplication leave one document of each group, secrets are masked in the
+texts, and what remains is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm import exact_dedup, quality_rules
+from pulselake.llm import exact_dedup, near_dedup, packing, quality_rules, secret_scan
 from pulselake.llm.common import documents, labels, written
+from pulselake.llm.queries import WORD_BPE, tokenizer_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules.quality_rules(docs, labels(spark, sf_dir))
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return quality_rules.kept_documents(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """Of equal texts the document with the largest doc_id."""
     return exact_dedup.distinct_documents(docs)
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id."""
+    dropped = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; n_chars follows the text."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_file(WORD_BPE))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
 
 #: The trees, the sketches and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

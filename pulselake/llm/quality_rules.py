@@ -173,6 +173,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Forest
     return fit_forest(x, y, MONOTONE)
 
 
+def _verdicts(texts: pa.Array, model: Forest, keep_from: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base_failed, quality, kept of each text."""
+    counts, x = _statistics(texts)
+    words, repeats = counts[:, 0], counts[:, 4]
+    failed = (words < 50) | (100 * repeats > 50 * words)
+    quality = model.probability(x)
+    return counts, failed, quality, ~failed & (quality >= keep_from)
+
+
+def kept_documents(docs: DataFrame, model: Forest, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged. Needs no shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_verdicts(batch.column("text"), model, keep_from)[3]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def assess(docs: DataFrame, model: Forest, keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, quality (probability of label 1), kept.
 
@@ -181,13 +200,10 @@ def assess(docs: DataFrame, model: Forest, keep_from: float = KEEP_FROM) -> Data
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, x = _statistics(batch.column("text"))
-            words, repeats = counts[:, 0], counts[:, 4]
-            failed = (words < 50) | (100 * repeats > 50 * words)
-            quality = model.probability(x)
+            counts, failed, quality, kept = _verdicts(batch.column("text"), model, keep_from)
             columns = {name: counts[:, k] for k, name in enumerate(COUNTS)}
             yield pa.record_batch(
-                {"doc_id": batch.column("doc_id"), **columns, "base_failed": failed, "quality": quality, "kept": ~failed & (quality >= keep_from)}
+                {"doc_id": batch.column("doc_id"), **columns, "base_failed": failed, "quality": quality, "kept": kept}
             )
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean"
