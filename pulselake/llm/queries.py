@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 from .common import documents, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_near_dedup,
+    op2_lm_scoring,
     op3_exact_dedup,
     op4_secret_scans,
     op5_quality_rules,
