@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 from .common import documents, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -46,6 +46,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES = (
     op3_exact_dedup,
     op4_secret_scans,
     op5_quality_rules,
+    op6_license_scans,
     op7_toxicity,
     op8_best_fit_packing,
     op9_substring_dedup,
