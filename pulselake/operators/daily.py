@@ -197,9 +197,9 @@ def daily_record_series(
 ) -> DataFrame:
     """Daily aggregate of a record type with the trailing mean of the unrounded aggregate."""
     if agg not in _AGGREGATES:
-        raise ValueError(f"Invalid aggregate function: {agg}")
+        raise ValueError(f"agg must be one of the supported SQL aggregates, not {agg!r}")
     if not isinstance(ma_window, int) or isinstance(ma_window, bool) or ma_window < 1:
-        raise ValueError(f"Invalid moving average window: {ma_window}")
+        raise ValueError(f"ma_window must be a positive whole number of rows, not {ma_window!r}")
     daily = by_day(records_between(t, s, e, record_type), _AGGREGATES[agg]("value").alias("raw"))
     return daily.select(
         "subject_id",

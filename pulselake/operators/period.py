@@ -32,7 +32,7 @@ def resolve_period(period: str, start: str | None, end: str | None, today: date)
     if start:
         return date.fromisoformat(start), date.fromisoformat(end) if end else today
     if period not in NAMED_PERIODS:
-        raise ValueError(f"Unknown period '{period}'. Use: {', '.join(NAMED_PERIODS)}")
+        raise ValueError(f"{period!r} names no period; known are {', '.join(NAMED_PERIODS)}")
     return today - timedelta(days=NAMED_PERIODS[period]), today
 
 

@@ -18,10 +18,9 @@ from pulselake.operators.intervals import overlapping
 from pulselake.operators.workouts import MPH_PER_MS
 from pulselake.tables import Tables
 
-# Earth radius in miles, feet per metre, and the dashboard's limits.
+# Earth radius in miles, feet per metre, and the dashboard's number of points for a track.
 EARTH_RADIUS_MI = 3959
 FEET_PER_M = 3.28084
-ROUTE_LIMIT = 50
 MAX_POINTS = 200
 UTC_OFFSET_HOURS = 7
 TYPE_PREFIX = "HKWorkoutActivityType"
@@ -34,11 +33,11 @@ def _shift(ts: Column, hours: int) -> Column:
 
 
 def recent_routes(
-    t: Tables, s: date, e: date, limit: int = ROUTE_LIMIT, utc_offset_hours: int = UTC_OFFSET_HOURS
+    t: Tables, s: date, e: date, limit: int | None = None, utc_offset_hours: int = UTC_OFFSET_HOURS
 ) -> DataFrame:
-    """The newest ``limit`` tracks per subject with points in the range; start and end in local time.
+    """Tracks with points in the range, all or the newest ``limit`` of each subject; start and end in local time.
 
-    Points fold to one row per track before ranking; a rank limit is applied map-side by Spark.
+    Points fold to one row per track; a rank limit is applied map-side by Spark.
     """
     tracks = (
         t.route_points.where(ts_between_days(F.col("recorded_at"), s, e))
@@ -49,16 +48,14 @@ def recent_routes(
             F.count(F.lit(1)).alias("pt_count"),
         )
     )
-    newest = Window.partitionBy("subject_id").orderBy(F.desc("first_point"), F.asc("gpx_file"))
-    return (
-        tracks.withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= limit)
-        .select(
-            *ROUTE,
-            _shift(F.col("first_point"), utc_offset_hours).alias("route_start"),
-            _shift(F.col("last_point"), utc_offset_hours).alias("route_end"),
-            "pt_count",
-        )
+    if limit is not None:
+        newest = Window.partitionBy("subject_id").orderBy(F.desc("first_point"), F.asc("gpx_file"))
+        tracks = tracks.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit)
+    return tracks.select(
+        *ROUTE,
+        _shift(F.col("first_point"), utc_offset_hours).alias("route_start"),
+        _shift(F.col("last_point"), utc_offset_hours).alias("route_end"),
+        "pt_count",
     )
 
 
@@ -98,14 +95,14 @@ def route_distances(points: DataFrame) -> DataFrame:
     return steps.groupBy(*ROUTE).agg(sql_round(F.sum("mi"), 2).alias("miles"))
 
 
-def route_distance_table(t: Tables, s: date, e: date, limit: int = ROUTE_LIMIT) -> DataFrame:
+def route_distance_table(t: Tables, s: date, e: date, limit: int | None = None) -> DataFrame:
     return route_distances(ordered_points(t, recent_routes(t, s, e, limit)))
 
 
 def workout_routes(
-    t: Tables, s: date, e: date, limit: int = ROUTE_LIMIT, utc_offset_hours: int = UTC_OFFSET_HOURS
+    t: Tables, s: date, e: date, limit: int | None = None, utc_offset_hours: int = UTC_OFFSET_HOURS
 ) -> DataFrame:
-    """One row per recent track: matched workout, its day and length, track distance and points in range."""
+    """One row per track: matched workout, its day and length, track distance and points in range."""
     routes = recent_routes(t, s, e, limit, utc_offset_hours)
     # A matching workout must touch the (shifted) range, so others need not be read.
     reach = timedelta(days=1 + abs(utc_offset_hours) // 24)
@@ -131,9 +128,9 @@ def workout_routes(
 
 
 def sampled_points(
-    t: Tables, s: date, e: date, limit: int = ROUTE_LIMIT, max_pts: int = MAX_POINTS
+    t: Tables, s: date, e: date, limit: int | None = None, max_pts: int = MAX_POINTS
 ) -> DataFrame:
-    """Every n-th point of each recent track, always with its first and last.
+    """Every n-th point of each track, always with its first and last.
 
     n comes from the points in the range, while the points themselves are those of the whole track.
     """
@@ -154,7 +151,7 @@ def _mapped_tracks(points: DataFrame) -> DataFrame:
 
 
 def elevation_gain(points: DataFrame) -> DataFrame:
-    """Feet climbed over the sampled points with a known elevation; NULL below two of them."""
+    """Feet climbed over the given points with a known elevation; NULL below two of them."""
     known = points.where(F.col("elevation").isNotNull()).select(*ROUTE, F.col("pos").alias("_at"), "elevation")
     placed = with_running_total(known, ROUTE, F.floor(F.col("_at") / BLOCK_ROWS), [F.col("_at")])
     along = Window.partitionBy(*ROUTE, "_block").orderBy("pos")
@@ -172,7 +169,7 @@ def elevation_gain(points: DataFrame) -> DataFrame:
 
 
 def elevation_profile(points: DataFrame) -> DataFrame:
-    """Feet and miles per hour at each sampled point with a known elevation."""
+    """Feet and miles per hour at each given point with a known elevation."""
     drawn = points.join(_mapped_tracks(points), ROUTE, "left_semi")
     return drawn.where(F.col("elevation").isNotNull()).select(
         *ROUTE,

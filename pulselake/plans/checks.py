@@ -191,12 +191,13 @@ route_rows AS (
       ORDER BY abs(epoch(x.start_date) - epoch(r.route_start)), x.start_date, x.workout_activity_type, x.duration) = 1
   ) m ON m.subject_id = r.subject_id AND m.gpx_file = r.gpx_file
   LEFT JOIN route_miles g ON g.subject_id = r.subject_id AND g.gpx_file = r.gpx_file),
+placed AS (
+  SELECT p.*, r.pt_count, row_number() OVER t AS pos, count(*) OVER (PARTITION BY p.subject_id, p.gpx_file) AS total
+  FROM points p JOIN routes r ON r.subject_id = p.subject_id AND r.gpx_file = p.gpx_file
+  WINDOW t AS (PARTITION BY p.subject_id, p.gpx_file ORDER BY p.recorded_at, p.latitude, p.longitude)),
 sampled AS (
   SELECT subject_id, gpx_file, pos, latitude, longitude, elevation, speed
-  FROM (SELECT p.*, r.pt_count, row_number() OVER t AS pos,
-               count(*) OVER (PARTITION BY p.subject_id, p.gpx_file) AS total
-        FROM points p JOIN routes r ON r.subject_id = p.subject_id AND r.gpx_file = p.gpx_file
-        WINDOW t AS (PARTITION BY p.subject_id, p.gpx_file ORDER BY p.recorded_at, p.latitude, p.longitude))
+  FROM placed
   WHERE pos = 1 OR pos = total OR pos % greatest(1, pt_count // 4) = 0),
 scores AS (
   SELECT subject_id, d AS date, start_time, end_time, time_in_bed_seconds, time_asleep_seconds,
@@ -756,14 +757,14 @@ LEFT JOIN (SELECT subject_id, max(gap) AS gap
     "route_points_sampled": "SELECT * FROM sampled",
     "route_elevation_gain": f"""
 SELECT k.subject_id, k.gpx_file, CASE WHEN g.n > 1 THEN round_even(g.up * 3.28084::DOUBLE, 0) END AS ele_gain_ft
-FROM (SELECT DISTINCT subject_id, gpx_file FROM sampled {_DRAWN}) k
+FROM (SELECT DISTINCT subject_id, gpx_file FROM placed {_DRAWN}) k
 LEFT JOIN (SELECT subject_id, gpx_file, count(*) AS n, sum(greatest(0, rise)) FILTER (rise IS NOT NULL) AS up
            FROM (SELECT *, elevation - lag(elevation) OVER (PARTITION BY subject_id, gpx_file ORDER BY pos) AS rise
-                 FROM sampled WHERE elevation IS NOT NULL) GROUP BY 1, 2) g USING (subject_id, gpx_file)""",
+                 FROM placed WHERE elevation IS NOT NULL) GROUP BY 1, 2) g USING (subject_id, gpx_file)""",
     "route_elevation_profile": f"""
 SELECT subject_id, gpx_file, pos, format('{{:.0f}}', elevation * 3.28084::DOUBLE)::DOUBLE AS ele_ft,
        format('{{:.1f}}', nullif(speed, 0) * 2.23694::DOUBLE)::DOUBLE AS speed_mph
-FROM sampled {_DRAWN} WHERE elevation IS NOT NULL""",
+FROM placed {_DRAWN} WHERE elevation IS NOT NULL""",
     "route_labels": """
 SELECT subject_id, gpx_file,
        CASE WHEN label <> '' THEN label ELSE replace(gpx_file, '.gpx', '') END AS label,

@@ -7,7 +7,6 @@ order and Spark and the SQL check agree to the last digit. ``DERIVED_SQL`` state
 from __future__ import annotations
 
 from datetime import date
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,9 +199,8 @@ def profile(base: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
 def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The derived tables, as lazy plans; keeping the plans saves analysing them again for every query."""
+    """The derived tables, as lazy plans."""
     base = base_events(spark, sf_dir)
     return Tables(
         records=records(base),

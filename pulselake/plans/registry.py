@@ -25,8 +25,12 @@ QUESTION = "Am I sleeping enough?"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder all executors can reach: below the cluster's checkpoint folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder all executors can reach: below the cluster's checkpoint folder; a temporary one on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root}/pulselake-{uuid4().hex}"
 
 
@@ -236,6 +240,10 @@ def _ranged(operator: Callable[..., DataFrame], **options) -> Callable[[Tables],
     return lambda t: operator(t, START, END, **options)
 
 
+def _track_points(t: Tables) -> DataFrame:
+    return routes.ordered_points(t, routes.recent_routes(t, START, END))
+
+
 def _sampled(t: Tables) -> DataFrame:
     return routes.sampled_points(t, START, END, max_pts=SAMPLE_POINTS)
 
@@ -290,8 +298,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "workout_routes": _ranged(routes.workout_routes),
     "route_distances": _ranged(routes.route_distance_table),
     "route_points_sampled": _sampled,
-    "route_elevation_gain": lambda t: routes.elevation_gain(_sampled(t)),
-    "route_elevation_profile": lambda t: routes.elevation_profile(_sampled(t)),
+    "route_elevation_gain": lambda t: routes.elevation_gain(_track_points(t)),
+    "route_elevation_profile": lambda t: routes.elevation_profile(_track_points(t)),
     "route_labels": lambda t: routes.route_labels(routes.workout_routes(t, START, END)),
     # Sleep
     "sleep_series": _ranged(sleep.sleep_series),

@@ -29,11 +29,13 @@ _SUBJECT_IN_PATH = r"subject_id=(\d+)"
 
 
 def subject_column(subject_id: int | None) -> Column:
-    """The given subject, or the number after ``subject_id=`` in the file's path."""
+    """The given subject, or the number after ``subject_id=`` in the file's path; a path without it fails the load."""
     if subject_id is not None:
         return F.lit(subject_id).cast("bigint")
-    found = F.regexp_extract(F.col("_metadata.file_path"), _SUBJECT_IN_PATH, 1)
-    return F.when(found != "", found).cast("bigint")
+    path = F.col("_metadata.file_path")
+    found = F.regexp_extract(path, _SUBJECT_IN_PATH, 1)
+    unnamed = F.raise_error(F.concat(F.lit("no subject_id= in the path of "), path)).cast("string")
+    return F.when(found != "", found).otherwise(unnamed).cast("bigint")
 
 
 def read_tags(
@@ -46,7 +48,7 @@ def read_tags(
         .option("pathGlobFilter", file_name)
         .text(path)
     )
-    if not lines.inputFiles():
+    if lines.isEmpty():
         raise FileNotFoundError(f"{file_name} not found under {path}")
     return lines.select(subject_column(subject_id).alias("subject_id"), F.col("value").alias("tag"))
 
@@ -87,7 +89,7 @@ def short_type(name: Column) -> Column:
     """A type name without its export prefix; other names stay as they are."""
     out = F.when(F.lit(False), name)
     for prefix in TYPE_PREFIXES:
-        out = out.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20))
+        out = out.when(name.startswith(prefix), F.substr(name, F.lit(len(prefix) + 1)))
     return out.otherwise(name)
 
 

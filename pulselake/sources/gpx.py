@@ -19,9 +19,15 @@ TRACK_SCHEMA = (
 
 
 def utc_clock(text: Column) -> Column:
-    """A zoned timestamp text as UTC wall clock, whatever the session time zone."""
-    instant = text.try_cast("timestamp")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    """A timestamp text as UTC wall clock, whatever the session time zone; a text without a zone is taken as UTC.
+
+    Zoned instants are counted in microseconds from the epoch, so hours that a local clock shows twice or never stay
+    apart.
+    """
+    zoned = text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2}|[+-]\d{2})$") & text.contains(":")
+    seconds = (F.unix_micros(text.try_cast("timestamp")) / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(zoned, epoch + F.make_dt_interval(secs=seconds)).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def flatten_tracks(tracks: DataFrame) -> DataFrame:

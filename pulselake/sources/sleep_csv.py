@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,24 +62,47 @@ SLEEP_COLUMNS = [
 ]
 
 
+#: Columns that the header of a file must name, and the most columns a file may have.
+REQUIRED = ("Start", "End")
+MOST_COLUMNS = 64
+
+
 def parse_nights(raw: DataFrame) -> DataFrame:
     """Typed nights from a frame of text columns named as in the export, next to ``subject_id``."""
     return raw.select("subject_id", *[read(F.col(f"`{header}`")).alias(name) for header, name, read in SLEEP_COLUMNS])
 
 
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of every CSV file under ``path`` as text columns named as in the export, whatever a file's column order.
+
+    Each file is read without a header, so its header is one of its rows: the one that names the columns in REQUIRED.
+    It tells where that file has each column. Files without such a row fail the load, columns a file lacks are NULL.
+    """
+    cells = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(MOST_COLUMNS)])
+    lines = (
+        spark.read.schema(cells)
+        .option("sep", ";")
+        .option("header", False)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .csv(path)
+    )
+    cell = F.array(*(F.regexp_replace(F.col(c), "^\ufeff", "") for c in cells.names))
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), "_metadata", cell.alias("cell"))
+    names = reduce(and_, (F.array_contains("cell", h) for h in REQUIRED))
+    headers = rows.where(names).groupBy("file").agg(F.min("cell").alias("header"))
+    body = rows.where(~F.coalesce(names, F.lit(False))).join(headers, "file", "left")
+    unknown = F.raise_error(F.concat(F.lit("no header row in "), F.col("file"))).cast("int")
+    place = {h: F.when(F.col("header").isNull(), unknown).otherwise(F.array_position("header", h).cast("int")) for h, _, _ in SLEEP_COLUMNS}
+    found = [F.when(at > 0, F.get("cell", at - 1)).alias(h) for h, at in place.items()]
+    return body.select("_metadata", *found)
+
+
 def read_nights(spark: SparkSession, path: str, subject_id: int | None = None) -> DataFrame:
     """Nights of every CSV file under ``path``. Notes may span lines, so a (small) file is read by one task."""
-    raw = spark.read.csv(
-        path,
-        sep=";",
-        header=True,
-        inferSchema=False,
-        multiLine=True,
-        escape='"',
-        recursiveFileLookup=True,
-        pathGlobFilter="*.csv",
-    )
-    return parse_nights(raw.withColumn("subject_id", subject_column(subject_id)))
+    return parse_nights(_by_header(spark, path).withColumn("subject_id", subject_column(subject_id)))
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

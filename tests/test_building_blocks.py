@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -182,6 +183,20 @@ def test_route_sampling_and_gain(spark, nobody):
     assert miles == pytest.approx(0.102 * 3959 * 3.141592653589793 / 180, abs=0.01)
 
 
+def test_every_track_of_a_subject_counts(spark, nobody):
+    """Sixty tracks: all have a distance unless a number is asked for."""
+    start = datetime(2025, 6, 1, 0, 0)
+    points = [
+        {"gpx_file": f"{k:02}.gpx", "recorded_at": start + timedelta(minutes=10 * k + i), "latitude": 47 + i / 1000, "longitude": -122.0}
+        for k in range(60)
+        for i in range(2)
+    ]
+    tables = replace(nobody, route_points=frame(spark, "route_points", points))
+    day = date(2025, 6, 1)
+    assert {r["gpx_file"] for r in routes.route_distance_table(tables, day, day).collect()} == {f"{k:02}.gpx" for k in range(60)}
+    assert {r["gpx_file"] for r in routes.recent_routes(tables, day, day, limit=2).collect()} == {"59.gpx", "58.gpx"}
+
+
 def test_route_label(spark):
     made = spark.createDataFrame(
         [(1, "a.gpx", date(2025, 3, 5), "Running", 8.0, 2.45), (1, "b.gpx", None, None, None, None)],

@@ -227,3 +227,44 @@ def test_json_output(spark, seeded, tmp_path):
     assert ("steps", '{"date":"2025-06-02","steps":7000,"steps_7d_avg":7500}') in got
     write_json(datasets, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).groupBy("dataset").count().count() == 2
+
+
+def test_nights_by_column_name(spark, tmp_path):
+    """Three files: two column orders, and one that lacks a column; a file without a header fails."""
+    files = {
+        1: "Start;End;Awake (seconds);Deep (seconds)\n2025-01-01 22:00:00;2025-01-02 06:00:00;111;7200\n",
+        2: "\ufeffEnd;Deep (seconds);Start;Awake (seconds)\n2025-01-02 06:10:00;7201;2025-01-01 22:10:00;112\n",
+        3: "Deep (seconds);Start;End\n7203;2025-01-01 22:20:00;2025-01-02 06:20:00\n",
+    }
+    for subject, text in files.items():
+        folder = tmp_path / "nights" / f"subject_id={subject}"
+        folder.mkdir(parents=True)
+        (folder / "sleepdata.csv").write_text(text, encoding="utf-8")
+    got = {n.subject_id: n for n in sleep_csv.read_nights(spark, str(tmp_path / "nights")).collect()}
+    assert {k: (n.awake_seconds, n.deep_seconds) for k, n in got.items()} == {1: (111.0, 7200.0), 2: (112.0, 7201.0), 3: (None, 7203.0)}
+    assert [got[k].start_time.minute for k in (1, 2, 3)] == [0, 10, 20]
+    other = tmp_path / "other" / "subject_id=4"
+    other.mkdir(parents=True)
+    (other / "a.csv").write_text("Anything;Else\n1;2\n")
+    with pytest.raises(Exception, match="no header row"):
+        sleep_csv.read_nights(spark, str(tmp_path / "other")).collect()
+
+
+def test_paths_without_a_subject_fail(spark, tmp_path):
+    (tmp_path / "sleepdata.csv").write_text(night_file(), encoding="utf-8")
+    with pytest.raises(Exception, match="no subject_id="):
+        sleep_csv.read_nights(spark, str(tmp_path)).collect()
+    assert sleep_csv.read_nights(spark, str(tmp_path), subject_id=5).collect()[0].subject_id == 5
+
+
+def test_track_times_in_any_session_zone(spark):
+    """Two instants an hour apart that a Californian clock shows alike, and a text without a zone."""
+    texts = ["2025-11-02T08:30:00Z", "2025-11-02T09:30:00Z", "2025-11-02T01:30:00.250-07:00", "2025-11-02 04:05:06", "never"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        rows = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [str(r[0]) for r in rows.select(gpx.utc_clock(F.col("t")).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2025-11-02 08:30:00", "2025-11-02 09:30:00", "2025-11-02 08:30:00.25", "2025-11-02 04:05:06", "None"]
