@@ -28,43 +28,80 @@ PARTITION_PIECES = 8_192
 #: Exchanges at most; each must save a sequence.
 EXCHANGES = 6
 END_OF_DOCUMENT = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Stretches, and words, whose ids a worker remembers, and characters of text that it cuts at once.
+REMEMBERED = 400_000
+PART_CHARS = 4 << 20
+ENDING = ".,!?;:"
+#: Letters whose lower case depends on their place or has more than one letter.
+ODD_LOWER = frozenset("\u03a3\u0130")
 
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, {}
-
+class _Words:
+    """The tokenizer of a worker process with the ids of words that it has met."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _tokenized(self, words: list[str]) -> None:
+        # some hundred words at a time, a blank between them; a token belongs to the word in which it begins
+        for lo in range(0, len(words), 256):
+            part = words[lo : lo + 256]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            self.words.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
+
+    def learn(self, stretches: list[str]) -> None:
+        """Ids of stretches between blanks: of the word, in lower case, and of the marks that end it.
+
+        The tokenizer lower-cases, and parts letters from the marks in ENDING; so "Word," and "word." share a word.
+        """
+        words, marks = [], []
+        for s in stretches:
+            word = s.rstrip(ENDING)
+            if word[-1:].isalpha() and (word.isascii() or ODD_LOWER.isdisjoint(word)):
+                words.append(word.lower())
+                marks.append(s[len(word) :])
+            else:
+                words.append(s)
+                marks.append("")
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        self.words[""] = b""
+        self._tokenized(list(set(words).union(marks) - self.words.keys()))
+        ids = self.words
+        self.stretches.update((s, ids[w] + ids[m]) for s, w, m in zip(stretches, words, marks, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, END_OF_DOCUMENT last.
+
+        The tokenizer drops white space and never joins what it parts, so each stretch has its ids whatever stands
+        beside it.
+        """
+        sizes = np.cumsum([len(t) for t in texts])
+        end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            lo, done = len(out), sizes[len(out) - 1] if out else 0
+            cut = [t.split(" ") for t in texts[lo : max(lo + 1, int(np.searchsorted(sizes, done + PART_CHARS, "right")))]]
+            if len(self.stretches) > REMEMBERED:
+                self.stretches.clear()
+            self.learn(list(set().union(*cut) - self.stretches.keys()))
+            out += [b"".join(map(self.stretches.__getitem__, own)) + end for own in cut]
+        return out
 
-def _encode(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, END_OF_DOCUMENT last.
 
-    The tokenizer drops white space and never joins what it parts, so each stretch between blanks has its ids whatever
-    stands beside it; every stretch that the worker does not remember goes to the tokenizer once.
-    """
-    tokenizer, known = _tokenizer(path)
-    cut = [t.split(" ") for t in texts]
-    new = list(set().union(*cut) - known.keys())
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(set().union(*cut))
-    for lo in range(0, len(new), 2048):
-        part = new[lo : lo + 2048]
-        encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-        word = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
-        ids = np.array(encoded.ids, "<u4")
-        at = np.searchsorted(word, np.arange(len(part) + 1))
-        for k, w in enumerate(part):
-            known[w] = ids[at[k] : at[k + 1]].tobytes()
-    end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, own)) + end for own in cut]
+@lru_cache(maxsize=2)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -73,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), _encode(tokenizer_path, batch.column("text").to_pylist()), strict=True):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), _words(tokenizer_path).encode(batch.column("text").to_pylist()), strict=True):
                 for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[lo : lo + 4 * capacity]
                     rows.append((doc_id, k, lo // 4, len(own) // 4, zlib.crc32(own)))
