@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
-from conftest import frame, rows
+from conftest import frame, record, rows
 from pyspark.sql import functions as F
 
 from pulselake.functions.numeric import safe_double
 from pulselake.operators.profile import profile_wide, upsert_profile
 from pulselake.sinks.json_rows import write_json
-from pulselake.sinks.store import open_tables, refresh
+from pulselake.sinks.store import drop_old_loads, open_tables, refresh, replace_source, save_profile
 from pulselake.sources import export_xml, gpx, sleep_csv
 from pulselake.sources.load import read_export, row_counts, top_record_types
 from pulselake.tables import SCHEMAS
@@ -268,3 +269,34 @@ def test_track_times_in_any_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == ["2025-11-02 08:30:00", "2025-11-02 09:30:00", "2025-11-02 08:30:00.25", "2025-11-02 04:05:06", "None"]
+
+
+def _stored(spark, root):
+    t = open_tables(spark, root)
+    return {
+        "records": sorted((r.subject_id, r.value) for r in t.records.collect()),
+        "nights": sorted(r.subject_id for r in t.sleep.collect()),
+        "profile": sorted((r.subject_id, r.key, r.value) for r in t.profile.collect()),
+        "subjects": sorted(r.subject_id for r in t.subjects.collect()),
+    }
+
+
+def test_replacing_a_source_or_a_subject_leaves_the_rest(spark, nobody, tmp_path):
+    root = str(tmp_path / "tables")
+    assert open_tables(spark, root).records.collect() == []
+    heart = lambda subject, value: record("HeartRate", "06-01 08:00", value=value) | {"subject_id": subject}
+    night = lambda subject: {"subject_id": subject, "start_time": datetime(2025, 6, 1, 22)}
+    made = lambda **t: replace(nobody, **{k: frame(spark, k, v) for k, v in t.items()})
+    refresh(
+        made(records=[heart(1, 60.0), heart(2, 70.0)], sleep=[night(1), night(2)], subjects=[{"subject_id": 1}, {"subject_id": 2}]), root
+    )
+    replace_source(made(records=[heart(1, 61.0), heart(1, 62.0)], subjects=[{"subject_id": 1}]), root, "phone", [1])
+    assert _stored(spark, root)["records"] == [(1, 61.0), (1, 62.0), (2, 70.0)]
+    replace_source(made(sleep=[night(3)], subjects=[{"subject_id": 3}]), root, "nights")
+    save_profile(spark, root, frame(spark, "profile", [{"subject_id": 2, "key": "age", "value": "40"}]))
+    want = {"records": [(1, 61.0), (1, 62.0), (2, 70.0)], "nights": [3], "profile": [(2, "age", "40")], "subjects": [1, 2, 3]}
+    assert _stored(spark, root) == want
+    dropped = drop_old_loads(spark, root)
+    assert {f.rsplit("/", 1)[1] for f in dropped} >= {"sleep", "profile"} and _stored(spark, root) == want
+    refresh(made(records=[heart(9, 50.0)], subjects=[{"subject_id": 9}]), root)
+    assert _stored(spark, root) == {"records": [(9, 50.0)], "nights": [], "profile": [], "subjects": [9]}
