@@ -69,10 +69,14 @@ def match_workouts(routes: DataFrame, workouts: DataFrame) -> DataFrame:
 
 
 def ordered_points(t: Tables, routes: DataFrame) -> DataFrame:
-    """All points of the given tracks (also those outside the range) with ``pos`` and ``total``."""
-    points = t.route_points.select(*ROUTE, "recorded_at", "latitude", "longitude", "elevation", "speed")
+    """All points of the given tracks (also those outside the range) with ``pos`` and ``total``.
+
+    Points of one time stand as in the file; points that cannot be told apart even so, by their values.
+    """
+    in_file = ["recorded_at", "segment", "point_no"]
+    points = t.route_points.select(*ROUTE, *in_file, "latitude", "longitude", "elevation", "speed")
     chosen = points.join(routes.select(*ROUTE), ROUTE, "left_semi")
-    order = [F.asc_nulls_last(c) for c in ("recorded_at", "latitude", "longitude", "elevation", "speed")]
+    order = [F.asc_nulls_last(c) for c in (*in_file, "latitude", "longitude", "elevation", "speed")]
     return with_running_total(chosen, ROUTE, hour_bucket(F.col("recorded_at")), order)
 
 

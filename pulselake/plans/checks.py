@@ -87,7 +87,7 @@ sleep AS (
 points AS (
   SELECT subject_id, 'r' || subject_id || '_' || (date_diff('day', DATE '2024-01-01', ts::DATE) // 7) || '.gpx'
            AS gpx_file,
-         ts + INTERVAL 7 HOUR AS recorded_at,
+         event_id AS point_no, ts + INTERVAL 7 HOUR AS recorded_at,
          47 + (event_id % 1000)::DOUBLE / 1024 AS latitude, -122 - (event_id % 997)::DOUBLE / 1024 AS longitude,
          CASE WHEN event_id % 19 <> 0 THEN 0.25::DOUBLE * (event_id % 300) END AS elevation,
          CASE WHEN event_id % 17 <> 0 THEN 0.125::DOUBLE * (event_id % 40) END AS speed
@@ -172,7 +172,7 @@ routes AS (
 legs AS (
   SELECT subject_id, gpx_file, latitude AS a1, longitude AS o1, lead(latitude) OVER p AS a2, lead(longitude) OVER p AS o2
   FROM points SEMI JOIN routes USING (subject_id, gpx_file)
-  WINDOW p AS (PARTITION BY subject_id, gpx_file ORDER BY recorded_at, latitude, longitude)),
+  WINDOW p AS (PARTITION BY subject_id, gpx_file ORDER BY recorded_at, point_no)),
 route_miles AS (
   SELECT subject_id, gpx_file,
          round(sum(2 * 3959 * asin(sqrt(pow(sin(radians(a2 - a1) / 2), 2)
@@ -194,7 +194,7 @@ route_rows AS (
 placed AS (
   SELECT p.*, r.pt_count, row_number() OVER t AS pos, count(*) OVER (PARTITION BY p.subject_id, p.gpx_file) AS total
   FROM points p JOIN routes r ON r.subject_id = p.subject_id AND r.gpx_file = p.gpx_file
-  WINDOW t AS (PARTITION BY p.subject_id, p.gpx_file ORDER BY p.recorded_at, p.latitude, p.longitude)),
+  WINDOW t AS (PARTITION BY p.subject_id, p.gpx_file ORDER BY p.recorded_at, p.point_no)),
 sampled AS (
   SELECT subject_id, gpx_file, pos, latitude, longitude, elevation, speed
   FROM placed

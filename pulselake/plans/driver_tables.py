@@ -165,6 +165,8 @@ def route_points(base: DataFrame) -> DataFrame:
         "subject_id": "subject_id",
         "gpx_file": f"concat('r', subject_id, '_', {week}, '.gpx')",
         "workout_name": f"concat('week ', {week})",
+        "segment": "0",
+        "point_no": "event_id",
         "recorded_at": "ts + make_dt_interval(0, 7)",
         "latitude": "47 + (event_id % 1000) / 1024D",
         "longitude": "-122 - (event_id % 997) / 1024D",

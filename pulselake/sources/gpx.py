@@ -31,15 +31,16 @@ def utc_clock(text: Column) -> Column:
 
 
 def flatten_tracks(tracks: DataFrame) -> DataFrame:
-    """Tracks (subject_id, gpx_file, name, trkseg) to points: segment by segment, in file order."""
-    segments = tracks.select(
-        "subject_id", "gpx_file", F.col("name").alias("workout_name"), F.explode("trkseg").alias("seg")
-    )
-    points = segments.select("subject_id", "gpx_file", "workout_name", F.explode("seg.trkpt").alias("p"))
+    """Tracks (subject_id, gpx_file, name, trkseg) to points with their segment and place in it, as in the file."""
+    track = ["subject_id", "gpx_file", "workout_name"]
+    segments = tracks.withColumnRenamed("name", "workout_name").select(*track, F.posexplode("trkseg").alias("segment", "seg"))
+    points = segments.select(*track, "segment", F.posexplode("seg.trkpt").alias("point_no", "p"))
     return points.select(
         "subject_id",
         "gpx_file",
         "workout_name",
+        F.col("segment").cast("bigint").alias("segment"),
+        F.col("point_no").cast("bigint").alias("point_no"),
         utc_clock(F.col("p.time")).alias("recorded_at"),
         safe_double(F.col("p._lat")).alias("latitude"),
         safe_double(F.col("p._lon")).alias("longitude"),

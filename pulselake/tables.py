@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 _NTZ = T.TimestampNTZType()
 _STR = T.StringType()
 _DBL = T.DoubleType()
+_LONG = T.LongType()
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -57,6 +58,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "route_points": _schema(
         gpx_file=_STR,
         workout_name=_STR,
+        segment=_LONG,
+        point_no=_LONG,
         recorded_at=_NTZ,
         latitude=_DBL,
         longitude=_DBL,

@@ -144,7 +144,7 @@ def test_resolve_period():
     assert period.resolve_period("all", "2025-01-01", None, today) == (date(2025, 1, 1), today)
     assert period.resolve_period("last-week", None, "2025-02-01", today) == (date(2025, 6, 3), today)
     assert period.resolve_period("all", None, None, today)[0] == today - timedelta(days=3650)
-    with pytest.raises(ValueError, match="Unknown period"):
+    with pytest.raises(ValueError, match="names no period"):
         period.resolve_period("last-decade", None, None, today)
     assert period.prior_period(date(2025, 6, 1), date(2025, 6, 3)) == (date(2025, 5, 30), date(2025, 5, 31))
     assert period.prior_period(today, today) == (date(2025, 6, 9), date(2025, 6, 9))
@@ -183,6 +183,27 @@ def test_route_sampling_and_gain(spark, nobody):
     assert miles == pytest.approx(0.102 * 3959 * 3.141592653589793 / 180, abs=0.01)
 
 
+def test_points_of_one_time_stand_as_in_the_file(spark, nobody):
+    """Two segments without any time, and equal times: no zigzag by latitude."""
+    places = [47.3, 47.1, 47.2, 47.0]
+    made = lambda times: replace(
+        nobody,
+        route_points=frame(
+            spark,
+            "route_points",
+            [
+                {"gpx_file": "a.gpx", "segment": k // 2, "point_no": k % 2, "recorded_at": t, "latitude": places[k], "longitude": -122.0}
+                for k, t in enumerate(times)
+            ],
+        ),
+    )
+    day = datetime(2025, 6, 1, 8)
+    listed = spark.createDataFrame([(1, "a.gpx")], "subject_id long, gpx_file string")
+    for times in ([day] * 4, [None] * 4):
+        points = routes.ordered_points(made(times), listed).orderBy("pos").collect()
+        assert [p["latitude"] for p in points] == places
+
+
 def test_every_track_of_a_subject_counts(spark, nobody):
     """Sixty tracks: all have a distance unless a number is asked for."""
     start = datetime(2025, 6, 1, 0, 0)

@@ -152,7 +152,8 @@ def test_gpx(spark, export):
     assert [p["gpx_file"] for p in points] == ["a.gpx"] * 3
     loose, first, second = points
     assert (loose["latitude"], loose["recorded_at"]) == (1.0, None)
-    assert tuple(first)[2:] == ("Morning", datetime(2025, 6, 1, 14, 0), 47.6062, -122.3321, 10.5, 3.5, 180.0, 5.0, 3.0)
+    assert tuple(first)[2:] == ("Morning", 0, 0, datetime(2025, 6, 1, 14, 0), 47.6062, -122.3321, 10.5, 3.5, 180.0, 5.0, 3.0)
+    assert [(p["segment"], p["point_no"]) for p in points] == [(1, 0), (0, 0), (0, 1)]
     assert (second["recorded_at"], second["speed"]) == (datetime(2025, 6, 1, 14, 0, 10), None)
 
 
