@@ -16,6 +16,7 @@ its blocks meet one common member, and what is still apart then is compared bloc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ ESTIMATE_FROM = 0.60
 BASE, RATE = 1.001, 20.0
 #: Documents of a group that one task compares.
 BLOCK = 4_096
+#: Groups up to this size are compared many at a time.
+SMALL_GROUP = 16
 
 _MULTIPLIERS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -59,20 +62,21 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def may_link(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, at: float = ESTIMATE_FROM) -> np.ndarray:
-    """Whether the likeliest similarity of ``one`` to each of ``others`` is at least ``at``.
+def may_link(one: np.ndarray, size: int | np.ndarray, others: np.ndarray, sizes: np.ndarray, at: float = ESTIMATE_FROM) -> np.ndarray:
+    """Whether the likeliest similarity of ``one`` (or of each row of it) to each of ``others`` is at least ``at``.
 
     Registers of two sets with shares u and v of their sizes' sum are greater, less or equal with probabilities
     p(u - vJ), p(v - uJ) and the rest, where p(x) = -log_b(1 - x (b - 1) / b). The log-likelihood has one peak in J, so
     its slope at ``at`` tells on which side the peak lies. Pairs whose sizes rule LINK_FROM out fail at once.
     """
     small, large = np.minimum(size, sizes), np.maximum(size, sizes)
-    open_ = 100 * small >= LINK_FROM * large
     found = np.zeros(len(sizes), bool)
-    where = np.flatnonzero(open_)
+    where = np.flatnonzero(100 * small >= LINK_FROM * large)
     if not len(where):
         return found
     theirs, n = others[where], sizes[where].astype(float)
+    if one.ndim == 2:
+        one, size = one[where], size[where]
     greater, less = (one > theirs).sum(axis=1), (one < theirs).sum(axis=1)
     u, v = size / (size + n), n / (size + n)
     c = (BASE - 1) / BASE
@@ -152,30 +156,70 @@ def _forest(doc: np.ndarray, k: np.ndarray, size: np.ndarray, sets: list[np.ndar
         for y in near.tolist():
             if label[y] == label[x]:
                 continue
-            if sets is not None:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both < LINK_FROM * (size[x] + size[y] - both):
-                    continue
+            if sets is not None and not _linked(sets[x], sets[y]):
+                continue
             edges.append((int(doc[x]), int(doc[y])))
             label[label == label[y]] = label[x]
     return edges
 
 
+def _segment_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each of many small segments, segment after segment, some at a time."""
+    for m in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        own, step = start[size == m], max(1, 50_000 // len(i))
+        for lo in range(0, len(own), step):
+            yield (own[lo : lo + step, None] + i).ravel(), (own[lo : lo + step, None] + j).ravel()
+
+
 def _linker(exact: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["doc_id", "role"]).sort_values(["doc_id", "role"]).reset_index(drop=True)
-        k = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(-1, REGISTERS)
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]] if exact else None
-        role = group["role"].to_numpy()
-        everyone = np.arange(len(group))
-        rows, columns = (everyone, everyone) if not role.any() else (everyone[role == 1], everyone[role == 2])
-        label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
-        edges = _forest(group["doc_id"].to_numpy(), k, group["n_shingles"].to_numpy(), sets, label, rows, columns)
+    """Edges of the groups of a batch: small groups together, each larger one on its own."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        group = ["group_id", "part", "strip"]
+        batch = batch.drop_duplicates([*group, "doc_id", "role"]).sort_values([*group, "doc_id", "role"]).reset_index(drop=True)
+        k = np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]] if exact else None
+        doc, n, role = (batch[c].to_numpy() for c in ("doc_id", "n_shingles", "role"))
+        label = np.unique(batch["label"].to_numpy(), return_inverse=True)[1]
+        keys = batch[group].to_numpy()
+        start = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(batch) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(batch)))
+        small = (size <= SMALL_GROUP) & (np.add.reduceat(role, start) == 0) if len(start) else np.zeros(0, bool)
+        whose = np.repeat(start, size)
+        end = dict(zip(start.tolist(), (start + size).tolist(), strict=True))
+        edges: list[tuple[int, int]] = []
+        for a, b in _segment_pairs(start[small], size[small]):
+            near = may_link(k[a], n[a], k[b], n[b])
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                if label[x] == label[y] or (sets is not None and not _linked(sets[x], sets[y])):
+                    continue
+                edges.append((int(doc[x]), int(doc[y])))
+                own = slice(int(whose[x]), end[int(whose[x])])
+                label[own][label[own] == label[y]] = label[x]
+        for lo in start[~small].tolist():
+            own = slice(lo, end[lo])
+            everyone = np.arange(end[lo] - lo)
+            ones = role[own]
+            rows, columns = (everyone, everyone) if not ones.any() else (everyone[ones == 1], everyone[ones == 2])
+            edges += _forest(doc[own], k[own], n[own], sets and sets[own], label[own].copy(), rows, columns)
         return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= LINK_FROM * (len(a) + len(b) - both)
+
+
+def _edges(dealt: DataFrame, exact: bool, block: int) -> DataFrame:
+    """``dealt``: members with part, strip, role and label. Groups are worked on some at a time, about a block of rows."""
+    batches = max(1, math.ceil(dealt.count() / block))
+    batch = F.pmod(F.xxhash64("group_id", "part", "strip"), F.lit(batches)).alias("batch")
+    return dealt.select("*", batch).groupBy("batch").applyInPandas(_linker(exact), "u long, v long")
+
+
 def link(members: DataFrame, exact: bool, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect, within each group, what is similar; a forest of each block.
 
@@ -192,9 +236,9 @@ def link(members: DataFrame, exact: bool, block: int = BLOCK) -> DataFrame:
     own = F.array(F.pmod(F.xxhash64("doc_id", "group_id"), "parts"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     dealt = rows.withColumn("part", F.explode(F.when(F.col("doc_id") == F.col("head"), every).otherwise(own)))
-    dealt = dealt.withColumn("role", F.lit(0)).withColumn("label", F.col("doc_id"))
-    run = _linker(exact)
-    edges = written(dealt.select(*held, "part", "role", "label").groupBy("group_id", "part").applyInPandas(run, "u long, v long").distinct(), "links")
+    zero = F.lit(0).cast("long")
+    dealt = dealt.select(*held, "part", zero.alias("strip"), F.lit(0).alias("role"), F.col("doc_id").alias("label"))
+    edges = written(_edges(dealt, exact, block).distinct(), "links")
     large = sizes.where("parts > 1")
     if large.isEmpty():
         return edges
@@ -210,8 +254,7 @@ def link(members: DataFrame, exact: bool, block: int = BLOCK) -> DataFrame:
     ones = apart.join(strips, "group_id").withColumn("strip", strip).withColumn("part", F.explode(every)).withColumn("role", F.lit(1))
     all_ = big.join(strips, "group_id").withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1))).withColumn("role", F.lit(2))
     grid = ones.select(*held, "part", "strip", "role", "label").unionByName(all_.select(*held, "part", "strip", "role", "label"))
-    more = grid.groupBy("group_id", "part", "strip").applyInPandas(run, "u long, v long")
-    return written(edges.unionByName(more).distinct(), "links")
+    return written(edges.unionByName(_edges(grid, exact, block)).distinct(), "links")
 
 
 def _with_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
