@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,20 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from here on import this package from where the driver has it.
+
+    Enough where executors see that folder; elsewhere ship the package with ``--py-files`` or ``addPyFile``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -22,6 +37,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and whole text, a null text as the empty one; other columns, whatever their names, are left behind."""
+    importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
