@@ -240,7 +240,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 #: Bytes of text whose pieces replay together.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
