@@ -30,7 +30,7 @@ from .text_arrays import blocks, mix
 
 PRIOR = 300.0
 #: Tokens of a chunk, about.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 #: Documents for each bucket of the hash range.
 BUCKET_DOCUMENTS = 4_096
 
