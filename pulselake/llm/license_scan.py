@@ -5,17 +5,15 @@ the templates (sparse, binary) gives each family and an unknown class a probabil
 variations that the weights have not seen, so that a probability means what it says. A predicted family counts only if
 the paragraph also shares enough n-grams with one of that family's templates.
 
-Lines without any of STEMS (whole words of law such as "license" or "copyright") are of the unknown class; this is part
-of the classifier and is looked for in whole texts. Fitting sees the templates and sentences below and nothing else, on the driver. Scoring explodes n-grams and joins them
-with the weights, a table of as many rows as the templates have n-grams, which is why it may be broadcast. Rows without
-a template's n-gram end there, before any shuffle.
+Fitting sees the templates and sentences below and nothing else, on the driver. Scoring explodes the n-grams of every
+line and joins them with the weights, a table of as many rows as the templates have n-grams, which is why it may be
+broadcast. Rows without a template's n-gram end there, before any shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,10 +115,6 @@ OTHERS = (
 )
 
 
-#: A notice has one of these, every template does; a line without any is of the unknown class.
-STEMS = ("licen", "copyright", "permission", "permitted", "warrant", "redistribut", "reserved", "waived", "public domain", "gpl", "free software")
-
-
 def _words(text: str) -> list[str]:
     """As ``_word_array`` does it in Spark."""
     import re
@@ -146,7 +140,6 @@ class Model:
 def fit(seed: int = 5, variations: int = 24) -> Model:
     """Softmax regression on variations of the templates (words left out, cut, put among others) and of OTHERS."""
     classes = (*TEMPLATES, UNKNOWN)
-    assert all(any(s in t.lower() for s in STEMS) for own in TEMPLATES.values() for t in own)
     vocabulary = sorted(set().union(*(_ngrams(_words(t)) for own in TEMPLATES.values() for t in own)))
     place = {g: k for k, g in enumerate(vocabulary)}
     rng = np.random.default_rng(seed)
@@ -206,15 +199,10 @@ def _word_array(line: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(plain, r"^[ .]+|[ .]+$", ""), " "), lambda w: w != "")
 
 
-def _has_stem(text: Column) -> Column:
-    return reduce(or_, (F.contains(F.lower(text), F.lit(s)) for s in STEMS))
-
-
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """A row for each line with one of STEMS: doc_id, text_key, paragraph (number from 0), grams (distinct n-grams)."""
+    """A row for each line of two or more words: doc_id, text_key, paragraph (number from 0), grams (distinct n-grams)."""
     texts = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.where(_has_stem(F.col("text")))
-    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_has_stem(F.col("line")))
+    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     # exploding one array keeps the optimizer from computing the words anew for each n-gram
     worded = lines.select("doc_id", "text_key", "paragraph", F.explode(F.array(_word_array(F.col("line")))).alias("w")).where(F.size("w") > 1)
     last = F.sequence(F.lit(0), F.size("w") - 2)

@@ -121,6 +121,21 @@ def test_licence_families(spark, docs, rows):
     assert len(every) == len(rows) and [r.doc_id for r in every if r.families] == [162]
 
 
+def test_licences_without_words_of_law_and_wrapped(spark):
+    """The model judges every line, also one that has no "license", "copyright" or the like."""
+    mit = 'Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated documentation files\n(the "Software"), to deal in the Software without restriction'
+    texts = {
+        1: ("This work is available under Creative Commons Attribution-ShareAlike 4.0 International.", 1, "cc-by-sa"),
+        2: ("CC BY 4.0", 1, "cc-by"),
+        3: ("first line\n\nAvailable under CC BY-SA 4.0.", 1, "cc-by-sa"),
+        4: (mit, 1, "mit"),  # the model knows its second line, which has no such word
+        5: ("The version 2.0 of the engine is faster than version 3.\nAny later version of the story is lost.", 0, ""),
+    }
+    small = spark.createDataFrame([(i, t) for i, (t, _, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_license_paragraphs, r.families) for r in license_scan.license_scan(small).collect()}
+    assert got == {i: (n, f) for i, (_, n, f) in texts.items()}
+
+
 def test_no_documents(nothing, labels):
     assert lm_scoring.lm_scores(nothing).collect() == []
     assert quality_rules.quality_rules(nothing, labels.where("false")).collect() == []
