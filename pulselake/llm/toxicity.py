@@ -119,9 +119,12 @@ def block_features(b: Block, lexicon: Lexicon) -> np.ndarray:
     best = np.zeros(n)
     np.maximum.at(best, plain.doc, weight)
 
-    # hits with a second-person word among the five words on either side
+    # hits with a second-person word among the five words of the same text on either side
     you = np.isin(forms[0], _YOU_HASHES)
-    near = np.convolve(you, np.ones(11), "same")[: len(you)] > 0 if len(you) > 10 else np.full(len(you), you.any())
+    so_far = np.zeros(len(you) + 1, np.int64)
+    np.cumsum(you, out=so_far[1:])
+    place = np.arange(len(you))
+    near = so_far[np.minimum(place + 6, plain.first[plain.doc + 1])] > so_far[np.maximum(place - 5, plain.first[plain.doc])]
     caps = total(plain.doc, _upper_words(plain))
 
     # spellings with digits or signs for letters: hits that show only after folding, mixed words, spaced letters
@@ -133,7 +136,8 @@ def block_features(b: Block, lexicon: Lexicon) -> np.ndarray:
     np.cumsum(_FOLDED[data] != data, out=changed[1:])
     mixed = changed[folded.end] > changed[folded.start]
     single = (plain.end - plain.start) == 1
-    spaced = single[1:-1] & single[:-2] & single[2:] if len(single) > 2 else np.zeros(0, bool)
+    one_text = plain.doc[:-2] == plain.doc[2:]
+    spaced = single[1:-1] & single[:-2] & single[2:] & one_text if len(single) > 2 else np.zeros(0, bool)
     chars = np.maximum(np.diff(b.at), 1)
     return np.stack(
         [

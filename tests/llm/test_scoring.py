@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulselake.llm import license_scan, lm_scoring, quality_rules, toxicity
@@ -106,6 +107,18 @@ def test_toxicity_of_unseen_texts(spark):
     assert np.mean([got[k].predicted == (k % 3 == 0) for k in held]) > 0.97
 
 
+def test_toxicity_features_end_with_the_text():
+    lexicon = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+    texts = ["idiot one two three four five six seven", "a b", "c", "one two three idiot", "you and one two three four five six moron", "", None, "x y you idiot z", "!!! ???"]
+    you = "you " * 30
+    alone = [toxicity._features(pa.array([t]), lexicon)[0].tolist() for t in texts]
+    together = toxicity._features(pa.array(texts), lexicon).tolist()
+    between = toxicity._features(pa.array([you, *(t for own in texts for t in (own, you))]), lexicon)[1::2].tolist()
+    assert alone == together == between
+    near, spaced = 9, 17
+    assert [x[near] for x in alone] == [0, 0, 0, 0, 0, 0, 0, 1, 0] and alone[1][spaced] == alone[2][spaced] == 0
+
+
 def test_licence_families(spark, docs, rows):
     lines = {
         1: ("intro\nLicensed under CC BY-NC 4.0.\nRELEASED under the MIT license", "cc-by-nc,mit"),
