@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
-from .common import documents, labels
+from . import (
+    byte_bpe,
+    exact_dedup,
+    lexical_search,
+    license_scan,
+    lm_scoring,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
+from .common import benchmark, documents, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -66,6 +78,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_pattern())
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES = (
     op1_near_dedup,
     op2_lm_scoring,
@@ -77,6 +93,7 @@ QUERIES = (
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_byte_bpe,
+    op13_lexical_search,
 )
 
 
@@ -89,4 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_dedup": near_dedup.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op9_substring_dedup": substring_dedup.ORACLE,
+        "op13_lexical_search": lexical_search.ORACLE,
     }
