@@ -70,10 +70,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 @atexit.register
 def remove_written() -> None:
     while _written:

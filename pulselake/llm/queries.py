@@ -18,8 +18,9 @@ from . import (
     secret_scan,
     substring_dedup,
     toxicity,
+    warc_archive,
 )
-from .common import benchmark, documents, labels
+from .common import benchmark, documents, labels, pages
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -78,6 +79,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_pattern())
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.page_records(pages(spark, sf_dir))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -93,6 +98,7 @@ QUERIES = (
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_byte_bpe,
+    op12_warc,
     op13_lexical_search,
 )
 
@@ -106,5 +112,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_dedup": near_dedup.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op9_substring_dedup": substring_dedup.ORACLE,
+        "op12_warc": warc_archive.ORACLE,
         "op13_lexical_search": lexical_search.ORACLE,
     }
