@@ -14,6 +14,7 @@ from . import (
     lm_scoring,
     near_dedup,
     packing,
+    phrase_mining,
     quality_rules,
     secret_scan,
     substring_dedup,
@@ -79,6 +80,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), tokenizer_pattern())
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.page_records(pages(spark, sf_dir))
 
@@ -98,6 +103,7 @@ QUERIES = (
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_byte_bpe,
+    op11_phrase_mining,
     op12_warc,
     op13_lexical_search,
 )
@@ -112,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_dedup": near_dedup.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op9_substring_dedup": substring_dedup.ORACLE,
+        "op11_phrase_mining": phrase_mining.ORACLE,
         "op12_warc": warc_archive.ORACLE,
         "op13_lexical_search": lexical_search.ORACLE,
     }
