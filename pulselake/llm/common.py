@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, DataFrame | None]] = []
 
 
 def importable(spark: SparkSession) -> None:
@@ -70,22 +70,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    removed_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path, held))
+    return held
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:
-    _written.append((spark, path))
+    _written.append((spark, path, None))
+
+
+def discard(held: DataFrame) -> None:
+    """Remove a ``written`` table now; nothing may still have to read it."""
+    for k, (spark, path, frame) in enumerate(_written):
+        if frame is held:
+            del _written[k]
+            _remove(spark, path)
+            return
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def remove_written() -> None:
     while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-            continue
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        spark, path, _ = _written.pop()
+        _remove(spark, path)
 
 
 def fold(key: str | Column, folds: int) -> Column:

@@ -4,10 +4,11 @@
    counted; those of at least ``least`` occurrences are numbered, all others end a phrase.
 2. Level by level, a phrase of k words is only looked for where its first and its last k - 1 words are both frequent: where
    the states of two neighbouring positions accept. A task gives such pairs local numbers, counts them by bincount, and
-   the tasks' counts are summed. Frequent ones become the next level of the trie.
-3. The level's transitions (phrase, next word) are a double-array trie over the bytes of the word's number. It is broadcast,
-   and numpy moves the states of all positions of a block through it at once. A trie holds a bounded number of
-   transitions (TRIE_EDGES); a level with more is spread over several tries, applied one after another.
+   the tasks' counts are summed bucket by bucket. Frequent ones become the next level of the trie.
+3. The level's transitions (phrase, phrase one word on) are a double-array trie over the bytes of the latter's number. It is
+   broadcast, and numpy moves the states of all positions of a block through it at once. A trie holds a bounded number of
+   transitions (TRIE_EDGES); a level with more is spread over several tries, applied one after another. Only the newest
+   states are kept.
 
 Nothing but tries, one at a time, goes through the driver.
 """
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, written
+from .common import discard, importable, written
 from .tokens import BLOCK_BYTES, byte_class, token_blocks
 
 LEAST = 100
@@ -33,13 +34,16 @@ TOP = 2_000
 TRIE_EDGES = 1 << 20
 #: Nodes with more children have a stretch of the array of their own, whose gaps others fill.
 CROWDED = 24
+#: Pairs that a task gathers before it passes their counts on, and that a bucket sums, on average at most.
+GATHERED = 1 << 20
+BUCKET_PAIRS = 1 << 22
 
 #: Bytes that end a piece: . , ; : ! ? and line ends.
 PIECE_END = byte_class(*b".,;:!?", range(0x0A, 0x0E))
 WORD = ~(PIECE_END | byte_class(0x20, 0x09))
 
 BLOCKS = "lang string, size long, words array<string>, counts array<long>, codes binary"
-STATES = "words binary, states binary"
+STATES = "states binary"
 
 
 def _segments(texts: pa.Array) -> pa.Array:
@@ -133,41 +137,82 @@ def _with_words(blocks: DataFrame, words: DataFrame, shards: int, ids: np.dtype)
                         to[hit] = own[1][found.drop_null().to_numpy()]
                     if last:
                         codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                        made = pa.array([np.append(to, -1).astype(ids)[codes].tobytes()])
-                        yield pa.record_batch({"words": made, "states": made})
+                        yield pa.record_batch({"states": pa.array([np.append(to, -1).astype(ids)[codes].tobytes()])})
                     else:
                         yield row.append_column("to", pa.array([to.tobytes()])) if first else row.set_column(len(row.schema) - 1, "to", pa.array([to.tobytes()]))
 
         return run
 
-    at = blocks.select("lang", "words", "codes")
+    at = blocks
     for k in range(shards):
         known = words.where(F.pmod(F.xxhash64("lang", "word"), F.lit(shards)) == k).select("lang", "word", "id").toArrow()
         last = k == shards - 1
-        at = written(at.mapInArrow(mapping(known, k == 0, last), STATES if last else "lang string, words array<string>, codes binary, to binary"), "states")
+        given = at.select("lang", "words", "codes", *["to"] * bool(k))
+        now = written(given.mapInArrow(mapping(known, not k, last), STATES if last else "lang string, words array<string>, codes binary, to binary"), "states")
+        discard(at)
+        at = now
     return at
 
 
-def local_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each occurs."""
-    left, i = np.unique(a, return_inverse=True)
-    right, j = np.unique(b, return_inverse=True)
-    pairs, number = np.unique(i * np.int64(max(len(right), 1)) + j, return_inverse=True)
-    return left[pairs // max(len(right), 1)], right[pairs % max(len(right), 1)], np.bincount(number, minlength=len(pairs))
+def local_counts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, in order, and the sum of ``n`` over each."""
+    if a.dtype == np.int32:
+        pairs, number = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        left, right = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+    else:
+        (lefts, i), (rights, j) = (np.unique(x, return_inverse=True) for x in (a, b))
+        pairs, number = np.unique(i * np.int64(max(len(rights), 1)) + j, return_inverse=True)
+        left, right = lefts[pairs // max(len(rights), 1)], rights[pairs % max(len(rights), 1)]
+    return left, right, np.bincount(number, n, len(pairs)).astype(np.int64)
 
 
-def pair_counts(states: DataFrame, ids: np.dtype) -> DataFrame:
-    """a, b, n: how often accepting state b follows accepting state a at the next position."""
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Compressed bytes of pairs: steps of a, then b, then counts."""
+    raw = b"".join(x.tobytes() for x in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, ids: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(raw[:8], "little")
+    data = pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    many = size // (2 * ids.itemsize + 8)
+    a, b = (np.frombuffer(data, ids, many, k * many * ids.itemsize) for k in (0, 1))
+    return np.cumsum(a, dtype=ids), b, np.frombuffer(data, np.int64, many, 2 * many * ids.itemsize)
+
+
+def pair_counts(states: DataFrame, ids: np.dtype, buckets: int, least: int) -> DataFrame:
+    """a, b, n: accepting state b follows accepting state a at the next position n times, ``least`` or more."""
+
+    def passed_on(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b, n = local_counts(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        bucket = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+        bucket = (bucket % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        rows = [_squeezed(np.diff(a[at], prepend=a.dtype.type(0)), b[at], n[at]) for at in np.split(order, first[1:])]
+        if len(own):
+            yield pa.record_batch({"bucket": pa.array(own), "pairs": pa.array(rows, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for batch in batches:
             for row in batch.column("states"):
                 s = np.frombuffer(row.as_py(), ids)
                 at = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
-                a, b, n = local_counts(s[at], s[at + 1])
-                yield pa.record_batch({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": n.astype(np.int64)})
+                held.append(local_counts(s[at], s[at + 1], np.ones(len(at), np.int64)))
+                many += len(held[-1][0])
+                if many >= GATHERED:
+                    yield from passed_on(held)
+                    held, many = [], 0
+        if held:
+            yield from passed_on(held)
 
-    return states.select("states").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def summed(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
+        a, b, n = local_counts(*(np.concatenate(c) for c in zip(*(_unpacked(x.as_py(), ids) for x in group["pairs"]), strict=True)))
+        own = n >= least
+        return pa.table({"a": a[own].astype(np.int64), "b": b[own].astype(np.int64), "n": n[own]})
+
+    return states.mapInArrow(run, "bucket int, pairs binary").groupBy("bucket").applyInArrow(summed, "a long, b long, n long")
 
 
 class DoubleArray:
@@ -181,17 +226,17 @@ class DoubleArray:
         self.heads, self.base, self.check, self.value, self.digits = heads, base, check, value, digits
 
     @classmethod
-    def build(cls, head: np.ndarray, word: np.ndarray, value: np.ndarray) -> DoubleArray:
-        """Of distinct (head, word); values are at least 0."""
-        digits = max(1, (int(word.max()).bit_length() + 7) // 8) if len(word) else 1
-        order = np.lexsort((word, head))
-        head, word, value = head[order], word[order], value[order]
+    def build(cls, head: np.ndarray, symbol: np.ndarray, value: np.ndarray) -> DoubleArray:
+        """Of distinct (head, symbol); values are at least 0."""
+        digits = max(1, (int(symbol.max()).bit_length() + 7) // 8) if len(symbol) else 1
+        order = np.lexsort((symbol, head))
+        head, symbol, value = head[order], symbol[order], value[order]
         heads, owner = np.unique(head, return_inverse=True)
-        places = _Places(len(heads), len(word))
+        places = _Places(len(heads), len(symbol))
         node = owner  # the node that each sequence has reached; heads are the first nodes
         for d in range(digits - 1, -1, -1):
-            byte = word >> 8 * d & 255
-            new = np.append(True, (node[1:] != node[:-1]) | (byte[1:] != byte[:-1]))[: len(word)]
+            byte = symbol >> 8 * d & 255
+            new = np.append(True, (node[1:] != node[:-1]) | (byte[1:] != byte[:-1]))[: len(symbol)]
             children = places.put(node[new], byte[new])
             node = children[np.cumsum(new) - 1]
         base, check = places.arrays()
@@ -199,11 +244,11 @@ class DoubleArray:
         values[node] = value
         return cls(heads, base, check, values, digits)
 
-    def walk(self, head: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The number of each (head, word), or -1; negative heads and words are nowhere."""
+    def walk(self, head: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The number of each (head, symbol), or -1; negative ones are nowhere."""
         at = np.minimum(np.searchsorted(self.heads, head), max(len(self.heads) - 1, 0))
-        alive = np.flatnonzero((self.heads[at] == head) & (word >= 0) & (word >> 8 * self.digits == 0)) if len(self.heads) else np.zeros(0, np.int64)
-        node, symbol = at[alive], word[alive]
+        alive = np.flatnonzero((self.heads[at] == head) & (symbol >= 0) & (symbol >> 8 * self.digits == 0)) if len(self.heads) else np.zeros(0, np.int64)
+        node, symbol = at[alive], symbol[alive]
         for d in range(self.digits - 1, -1, -1):
             to = self.base[node] + (symbol >> 8 * d & 255)
             on = self.check[to] == node
@@ -286,22 +331,22 @@ TRIE = "heads binary, base binary, check binary, value binary, digits int"
 
 
 def tries(level: DataFrame, shards: int) -> DataFrame:
-    """The double-array tries of a level's transitions (a, word, id), a row per shard."""
+    """The double-array tries of a level's transitions (a, b, id), a row per shard."""
 
     def run(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
-        t = DoubleArray.build(*(group[c].to_numpy() for c in ("a", "word", "id")))
+        t = DoubleArray.build(*(group[c].to_numpy() for c in ("a", "b", "id")))
         arrays = [pa.array([x.tobytes()]) for x in (t.heads, t.base.astype(np.int64), t.check.astype(np.int64), t.value)]
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *arrays, pa.array([t.digits], pa.int32())], ["shard", *(c.split()[0] for c in TRIE.split(", "))])
 
-    shard = F.pmod(F.xxhash64("a", "word"), F.lit(shards)).cast("int").alias("shard")
-    return level.select("a", "word", "id", shard).groupBy("shard").applyInArrow(run, f"shard int, {TRIE}")
+    shard = F.pmod(F.xxhash64("a", "b"), F.lit(shards)).cast("int").alias("shard")
+    return level.select("a", "b", "id", shard).groupBy("shard").applyInArrow(run, f"shard int, {TRIE}")
 
 
-def _advanced(states: DataFrame, built: DataFrame, shards: int, length: int, ids: np.dtype) -> DataFrame:
-    """States of phrases of ``length`` words from those of one word less."""
+def _advanced(states: DataFrame, built: DataFrame, shards: int, ids: np.dtype) -> DataFrame:
+    """States of phrases from those of one word less, which are discarded."""
     spark = states.sparkSession
 
-    def step(row: dict, first: bool):
+    def step(row: dict, first: bool, last: bool):
         arrays = [np.frombuffer(row[c], np.int64) for c in ("heads", "base", "check", "value")]
         small = [x.astype(np.int32) if len(arrays[1]) < 1 << 31 else x for x in arrays[1:3]]
         shared = spark.sparkContext.broadcast((arrays[0], *small, arrays[3], row["digits"]))
@@ -310,56 +355,53 @@ def _advanced(states: DataFrame, built: DataFrame, shards: int, length: int, ids
             trie = DoubleArray(*shared.value)
             for batch in batches:
                 for k in range(len(batch)):
-                    words, old = (np.frombuffer(batch.column(c)[k].as_py(), ids) for c in ("words", "states"))
+                    given = batch.column("states")[k].as_py()
+                    old = np.frombuffer(given, ids)
                     new = np.full(len(old), -1, ids) if first else np.frombuffer(batch.column("next")[k].as_py(), ids).copy()
                     at = np.flatnonzero((old[:-1] >= 0) & (old[1:] >= 0))
-                    at = at[at + length - 1 < len(words)]
-                    to = trie.walk(old[at], words[at + length - 1])
+                    to = trie.walk(old[at], old[at + 1])
                     new[at[to >= 0]] = to[to >= 0]
-                    cells = {"words": batch.column("words")[k].as_py(), "states": batch.column("states")[k].as_py(), "next": new.tobytes()}
+                    cells = {"states": new.tobytes()} if last else {"states": given, "next": new.tobytes()}
                     yield pa.record_batch({c: pa.array([v]) for c, v in cells.items()})
 
         return run
 
-    at = states
     for k in range(shards):
-        one = built.where(F.col("shard") == k).toArrow().to_pylist()
-        if one or not k:
-            row = one[0] if one else {c: b"" for c in ("heads", "base", "check", "value")} | {"digits": 1}
-            at = written(at.mapInArrow(step(row, k == 0), f"{STATES}, next binary"), "states")
-    return at.select("words", F.col("next").alias("states"))
-
-
-LEVEL = ["id", "lang", "phrase", "word", "last", "n", "heads", "tails"]
+        row = next(iter(built.where(F.col("shard") == k).toArrow().to_pylist()), {c: b"" for c in ("heads", "base", "check", "value")} | {"digits": 1})
+        last = k == shards - 1
+        now = written(states.mapInArrow(step(row, not k, last), STATES if last else f"{STATES}, next binary"), "states")
+        discard(states)
+        states = now
+    return states
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, trie_edges: int = TRIE_EDGES) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1, 2, ... words, and lang, total: the words of each language with repeats.
 
-    Of each phrase: id, lang, phrase, word (number of its last word) and last (that word), n (occurrences), heads and tails
-    (occurrences of its first and of its last 1, 2, ... words); from two words on a and b, the ids of the phrases without
-    the last and the first word, one level below.
+    Of each phrase: id, lang, phrase, last (its last word), n (occurrences), heads and tails (occurrences of its first and of
+    its last 1, 2, ... words); from two words on a and b, the ids of the phrases without the last and the first word, one
+    level below.
     """
     blocks = written(blocks_of_words(docs), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("size").alias("total"))
+    totals = written(blocks.groupBy("lang").agg(F.sum("size").alias("total")), "totals")
+    buckets = max(1, math.ceil((totals.agg(F.sum("total")).first()[0] or 0) / BUCKET_PAIRS))
     words = blocks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     level, many = numbered(words, "words")
     level = written(level, "phrases")
     ids = _size_of_ids(many)
     states = _with_words(blocks, level, max(1, math.ceil(many / trie_edges)), ids)
-    levels = [level.select("id", "lang", F.col("word").alias("phrase"), F.col("id").alias("word"), F.col("word").alias("last"), "n", F.array("n").alias("heads"), F.array("n").alias("tails"))]
+    levels = [level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", F.array("n").alias("heads"), F.array("n").alias("tails"))]
     for length in range(2, longest + 1):
         below = levels[-1]
-        pairs = pair_counts(states, ids).where(F.col("n") >= least)
-        level, many = numbered(pairs, "pairs")
+        level, many = numbered(pair_counts(states, ids, buckets, least), "pairs")
         if not many:
             break
         front = below.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("front"), "heads")
-        back = below.select(F.col("id").alias("b"), "word", "last", "tails")
+        back = below.select(F.col("id").alias("b"), "last", "tails")
         n = F.array("n")
         level = level.join(front, "a").join(back, "b").select(
-            "id", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "word", "last", "n", F.concat("heads", n).alias("heads"), F.concat("tails", n).alias("tails"), "a", "b"
+            "id", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "n", F.concat("heads", n).alias("heads"), F.concat("tails", n).alias("tails"), "a", "b"
         )
         level = written(level, "phrases")
         levels.append(level)
@@ -367,7 +409,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             if _size_of_ids(many) != ids:
                 raise OverflowError(f"{many} phrases of {length} words have no numbers of {ids}")
             shards = max(1, math.ceil(many / trie_edges))
-            states = _advanced(states, written(tries(level, shards), "tries"), shards, length, ids)
+            states = _advanced(states, written(tries(level, shards), "tries"), shards, ids)
+    discard(states)
     return levels, totals
 
 
