@@ -76,6 +76,37 @@ def test_overlapping(spark):
     assert got == expected and len(got) > 50
 
 
+def test_long_intervals_cost_few_rows(spark):
+    """A minute and a century, before 1970 too: few buckets each, and the same pairs as a plain search."""
+    spans = [(T0, T0 + timedelta(minutes=1)), (T0 - timedelta(days=36_500), T0 + timedelta(days=20)), (T0, T0 + timedelta(days=36_500)), (T0 - timedelta(days=30_000), T0 - timedelta(days=25_000)), (T0, T0 + timedelta(hours=17, minutes=30))]
+    workouts = frame(spark, "workouts", [{"subject_id": 1, "start_date": a, "end_date": b, "duration": float(k)} for k, (a, b) in enumerate(spans)])
+    placed = intervals._buckets(intervals._placed(workouts, "start_date", "end_date"), "_width")
+    assert placed.groupBy("duration").count().agg(F.max("count")).first()[0] <= 17
+    points = [T0, T0 + timedelta(seconds=30), T0 + timedelta(days=30_000), T0 - timedelta(days=28_000), T0 - timedelta(days=36_500), T0 + timedelta(days=40_000), T0 + timedelta(hours=17)]
+    records = frame(spark, "records", [{"subject_id": 1, "record_type": "x", "start_date": p, "end_date": p, "value": float(k)} for k, p in enumerate(points)])
+    got = sorted((r["duration"], r["value"]) for r in intervals.records_within(workouts, records, both_ends=True).collect())
+    assert got == sorted((float(k), float(n)) for k, (a, b) in enumerate(spans) for n, p in enumerate(points) if a <= p <= b)
+    left, right = workouts.selectExpr("subject_id", "start_date as a", "end_date as b", "duration as x"), workouts.selectExpr("subject_id", "start_date as c", "end_date as d", "duration as y")
+    got = sorted((r["x"], r["y"]) for r in intervals.overlapping(left, right, ("a", "b"), ("c", "d")).collect())
+    assert got == sorted((float(i), float(j)) for i, p in enumerate(spans) for j, q in enumerate(spans) if p[0] <= q[1] and q[0] <= p[1])
+    nobody = intervals.overlapping(left.where("x < 0"), right, ("a", "b"), ("c", "d"))
+    assert nobody.count() == 0 and intervals.records_within(workouts.where("duration < 0"), records, both_ends=True).count() == 0
+
+
+def test_a_busy_hour_is_spread_over_parts(spark, monkeypatch):
+    """3,000 and 400 intervals of one subject in one hour: every pair once, in many parts of both sides."""
+    monkeypatch.setattr(intervals, "PART_ROWS", 375)
+    rows = spark.range(3_000).select(F.lit(1).cast("long").alias("subject_id"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") % 900)).cast("timestamp_ntz").alias("a"), F.col("id").alias("x"))
+    left = rows.withColumn("b", F.col("a") + F.expr("interval 30 minutes"))
+    right = left.where("x < 400").selectExpr("subject_id", "a as c", "b as d", "x as y")
+    cells, others = (intervals._cells(intervals._placed(d, *c)) for d, c in ((left, "ab"), (right, "cd")))
+    spread = intervals._spread(cells, intervals._parts(cells, others), "_left", "_right").where("_shared = 0")
+    sizes = [r["count"] for r in spread.groupBy("_bucket", "_left_at", "_right_at").count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 6_000 and max(sizes) < 600
+    pairs = intervals.overlapping(left, right, ("a", "b"), ("c", "d"))
+    assert pairs.count() == 1_200_000 and pairs.select("x", "y").distinct().count() == 1_200_000
+
+
 def test_trailing_over_rows_matches_a_plain_scan(spark, monkeypatch):
     """Blocks far smaller than the data, many rows per slice, and a key holding most rows."""
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 10)
