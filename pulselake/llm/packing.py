@@ -3,8 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to partitions of bounded size, and each is
 packed by best-fit decreasing. Dual feasible functions give each partition, and the whole by its 4096 possible lengths,
 a number of sequences that no packing can go below. While the total is above the bound of the whole, partitions with
-gaps exchange what lies in their unfilled sequences: those pieces are dealt anew and packed again, as long as that
-saves sequences.
+gaps exchange what lies in their unfilled sequences: those pieces are dealt anew and packed again, until the bound is
+reached or several dealings in a row save nothing. Partitions that meet their own bound keep out of it while others do not.
 """
 
 from __future__ import annotations
@@ -15,59 +15,80 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import discard, id_and_text, written
+from .tokens import byte_class, token_blocks
 
 CAPACITY = 4096
 #: Pieces that are packed together, on average.
 PARTITION_PIECES = 8_192
-#: Exchanges at most; each must save a sequence.
-EXCHANGES = 6
+#: Exchanges without a sequence saved, each with another dealing, after which there are no more.
+FRUITLESS = 4
 END_OF_DOCUMENT = 1
-#: Stretches, and words, whose ids a worker remembers, and characters of text that it cuts at once.
-REMEMBERED = 400_000
-PART_CHARS = 4 << 20
+#: Stretches, and words, whose ids a worker remembers.
+REMEMBERED = 500_000
 ENDING = ".,!?;:"
 #: Letters whose lower case depends on their place or has more than one letter.
 ODD_LOWER = frozenset("\u03a3\u0130")
 
+#: All bytes but the blank: stretches are what stands between blanks.
+STRETCH = ~byte_class(0x20)
+
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Words:
-    """The tokenizer of a worker process with the ids of words that it has met."""
+    """The tokenizer of a worker process with the ids of stretches and words that it has met."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.stretches: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.stretches: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # stretch k has ids[at[k]:at[k + 1]]
 
     def _tokenized(self, words: list[str]) -> None:
-        # some hundred words at a time, a blank between them; a token belongs to the word in which it begins
-        for lo in range(0, len(words), 256):
-            part = words[lo : lo + 256]
+        plain = [w.isascii() and w.isalpha() for w in words]
+        model = self.tokenizer.model
+        for word in (w for w, p in zip(words, plain, strict=True) if p):  # lower-case letters: neither the normalizer nor the pattern has anything to do
+            self.words[word] = np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+        # the others some hundred at a time, a blank between them; a token belongs to the word in which it begins
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        for lo in range(0, len(rest), 256):
+            part = rest[lo : lo + 256]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
-            raw = np.array(encoded.ids, "<u4").tobytes()
+            ids = np.array(encoded.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and all(map(str.isalpha, part)):  # a word each, and each has its end mark
+                at = [0, *last.tolist()]
+            else:
+                starts = np.cumsum([0] + [len(w) + 1 for w in part])
+                at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
+            raw = ids.tobytes()
             self.words.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
 
-    def learn(self, stretches: list[str]) -> None:
+    def _learn(self, stretches: list[str]) -> None:
         """Ids of stretches between blanks: of the word, in lower case, and of the marks that end it.
 
-        The tokenizer lower-cases, and parts letters from the marks in ENDING; so "Word," and "word." share a word.
+        The tokenizer lower-cases, and parts letters from the marks in ENDING; so "Word," and "word." share a word. What
+        may hold the text of a special token is left as it is.
         """
         words, marks = [], []
         for s in stretches:
             word = s.rstrip(ENDING)
-            if word[-1:].isalpha() and (word.isascii() or ODD_LOWER.isdisjoint(word)):
+            if word[-1:].isalpha() and (word.isascii() or ODD_LOWER.isdisjoint(word)) and "<|" not in word:
                 words.append(word.lower())
                 marks.append(s[len(word) :])
             else:
@@ -77,26 +98,32 @@ class _Words:
             self.words = {}
         self.words[""] = b""
         self._tokenized(list(set(words).union(marks) - self.words.keys()))
-        ids = self.words
-        self.stretches.update((s, ids[w] + ids[m]) for s, w, m in zip(stretches, words, marks, strict=True))
+        new = [self.words[w] + self.words[m] for w, m in zip(words, marks, strict=True)]
+        self.stretches.update(zip(stretches, range(len(self.stretches), len(self.stretches) + len(new)), strict=True))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(new), "<u4"))
+        self.at = np.append(self.at, self.at[-1] + np.cumsum(np.array([len(x) // 4 for x in new], np.int64)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, END_OF_DOCUMENT last.
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For blocks of texts: their ids one after another, END_OF_DOCUMENT after each text, and where each text begins.
 
         The tokenizer drops white space and never joins what it parts, so each stretch has its ids whatever stands
-        beside it.
+        beside it. Upper case only tells special tokens apart.
         """
-        sizes = np.cumsum([len(t) for t in texts])
-        end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
-        out: list[bytes] = []
-        while len(out) < len(texts):
-            lo, done = len(out), sizes[len(out) - 1] if out else 0
-            cut = [t.split(" ") for t in texts[lo : max(lo + 1, int(np.searchsorted(sizes, done + PART_CHARS, "right")))]]
-            if len(self.stretches) > REMEMBERED:
-                self.stretches.clear()
-            self.learn(list(set().union(*cut) - self.stretches.keys()))
-            out += [b"".join(map(self.stretches.__getitem__, own)) + end for own in cut]
-        return out
+        for t in token_blocks(texts, STRETCH, lower=not pc.any(pc.match_substring(texts, "<|")).as_py()):
+            coded = t.words.dictionary_encode()
+            distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+            if len(self.stretches) + len(distinct) > REMEMBERED:
+                self._forget()
+            self._learn([s for s in distinct if s not in self.stretches])
+            which = np.array([self.stretches[s] for s in distinct], np.int64)[coded.indices.to_numpy()]
+            size = self.at[which + 1] - self.at[which]
+            count = np.bincount(t.text, size, t.hi - t.lo).astype(np.int64) + 1
+            begin = np.append(0, np.cumsum(count))
+            ids = np.full(begin[-1], END_OF_DOCUMENT, "<u4")
+            inside = np.ones(len(ids), bool)
+            inside[begin[1:] - 1] = False
+            ids[inside] = self.ids[np.repeat(self.at[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))]
+            yield ids, begin
 
 
 @lru_cache(maxsize=2)
@@ -109,13 +136,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), _words(tokenizer_path).encode(batch.column("text").to_pylist()), strict=True):
-                for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
-                    own = raw[lo : lo + 4 * capacity]
-                    rows.append((doc_id, k, lo // 4, len(own) // 4, zlib.crc32(own)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            lo = 0
+            for ids, begin in _words(tokenizer_path).encode(batch.column("text")):
+                length = np.diff(begin)
+                many = -(-length // capacity)
+                text = np.repeat(np.arange(len(length)), many)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+                start = begin[text] + piece * capacity
+                end = np.minimum(start + capacity, begin[text + 1])
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                columns = (piece.astype(np.int32), piece * capacity, end - start, np.array(crc, np.int64))
+                yield pa.record_batch([batch.column("doc_id")[lo : lo + len(length)].take(pa.array(text)), *map(pa.array, columns)], [c.split()[0] for c in PIECE_COLUMNS.split(", ")])
+                lo += len(length)
 
     return id_and_text(docs).mapInArrow(cut, PIECE_COLUMNS)
 
@@ -166,22 +199,21 @@ def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACIT
 
 
 def _pack(rows: DataFrame, partitions: int, salt: int, capacity: int) -> DataFrame:
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
+    def run(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         length = group["length"].to_numpy()
         bins, offsets = best_fit_decreasing(length, capacity)
         size, number = np.unique(length, return_counts=True)
-        filled = np.bincount(bins, length)
-        return group.assign(
-            sequence_id=(salt << 56) + (int(key[0]) << 24) + bins,
-            offset=offsets,
-            filled=filled[bins].astype(np.int64),
-            certified=len(filled) == lower_bound(size, number, capacity),
-        )
+        filled = np.bincount(bins, length).astype(np.int64)
+        certified = np.full(len(length), len(filled) == lower_bound(size, number, capacity))
+        sequence = (salt << 56) + (key[0].as_py() << 24) + bins
+        for name, values in (("sequence_id", sequence), ("offset", offsets), ("filled", filled[bins]), ("certified", certified)):
+            group = group.append_column(name, pa.array(values))
+        return group
 
     place = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(partitions)).alias("place")
     schema = f"{PIECE_COLUMNS}, place long, sequence_id long, offset long, filled long, certified boolean"
-    return rows.select(*(c.split()[0] for c in PIECE_COLUMNS.split(", ")), place).groupBy("place").applyInPandas(run, schema)
+    return rows.select(*(c.split()[0] for c in PIECE_COLUMNS.split(", ")), place).groupBy("place").applyInArrow(run, schema)
 
 
 def _sequences(packed: DataFrame) -> int:
@@ -204,17 +236,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
     partitions = max(1, math.ceil(items.count() / partition_pieces))
     packed = written(_pack(items, partitions, 0, capacity), "packed")
     least, now = bound(items, capacity), _sequences(packed)
-    for salt in range(1, EXCHANGES + 1):
-        if now == least or partitions == 1:
-            break
-        # filled sequences stay; the others' pieces, and a certified partition's too, meet those of other partitions
-        settled, gaps = packed.where(F.col("filled") == capacity), packed.where(F.col("filled") < capacity)
+    salt = fruitless = 0
+    while now > least and partitions > 1 and fruitless < FRUITLESS:
+        salt += 1
+        # filled sequences stay, and those of certified partitions as long as exchanges among the others save some
+        open_ = F.col("filled") < capacity
+        if not fruitless and packed.where(open_ & ~F.col("certified")).select("place").distinct().count() > 1:
+            open_ &= ~F.col("certified")
+        settled, gaps = packed.where(~open_), packed.where(open_)
         partitions = max(1, math.ceil(gaps.count() / partition_pieces))
         again = written(settled.unionByName(_pack(gaps, partitions, salt, capacity)), "packed")
         then = _sequences(again)
-        if then >= now:
-            break
-        packed, now = again, then
+        fruitless = fruitless + 1 if then >= now else 0
+        if then < now:
+            packed, again, now = again, packed, then
+        discard(again)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -38,8 +38,8 @@ class Tokens:
     data: np.ndarray
 
 
-def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[Tokens]:
-    """Maximal runs of ``solid`` bytes with A-Z lower-cased; a null text counts as empty."""
+def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BYTES, lower: bool = True) -> Iterator[Tokens]:
+    """Maximal runs of ``solid`` bytes, with A-Z lower-cased if ``lower``; a null text counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:
@@ -50,7 +50,8 @@ def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BY
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes, "right")) - 1)
-        yield _tokens(lo, hi, LOWER[data[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo], solid)
+        part = data[at[lo] : at[hi]]
+        yield _tokens(lo, hi, LOWER[part] if lower else part, at[lo : hi + 1] - at[lo], solid)
         lo = hi
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -104,10 +105,19 @@ def test_byte_bpe_round_trip(docs, rows):
 def test_stretches_have_the_ids_of_whole_texts(rows):
     path = tokenizer_file(WORD_BPE)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    every = [t or "" for _, t in rows] + ODD + ["Foo. BAR!? É. Éa, x.y 1. a.b. ... .. 5:; İ. ab́. don't. O'RE", "ΣΑΣ. Σ, ΑΣ"]
-    for text, raw in zip(every, packing._words(path).encode(every), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids + [1], text[:80]
+    special = ["hello <|endoftext|> there", "a<|endoftext|>b.", "<|ENDOFTEXT|> Yes", "<|startoftext|><|endoftext|>!", "x <|End", "abc<|endoftext|>. ABC"]
+    every = special + [t or "" for _, t in rows] + ODD + ["Foo. BAR!? É. Éa, x.y 1. a.b. ... .. 5:; İ. ab́. don't. O'RE", "ΣΑΣ. Σ, ΑΣ"]
+    for part in (every, every[len(special) :], every[:1]):
+        got = [ids[a:b].tolist() for ids, begin in packing._words(path).encode(pa.array(part)) for a, b in zip(begin, begin[1:], strict=False)]
+        assert len(got) == len(part)
+        for text, ids in zip(part, got, strict=True):
+            assert ids == plain.encode(text, add_special_tokens=False).ids + [1], text[:80]
+
+
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    docs = spark.createDataFrame([(None, "a"), (2**60 + 1, "b"), (2**60 + 3, "<|endoftext|>"), (2**60 + 3, "<|endoftext|>")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.length) for r in packing.pack_documents(docs, tokenizer_file(WORD_BPE)).collect())
+    assert got == Counter({(None, 2): 1, (2**60 + 1, 2): 1, (2**60 + 3, 2): 2})
 
 
 def check_packing(got, capacity=4096):
