@@ -10,6 +10,7 @@ reached or several dealings in a row save nothing. Partitions that meet their ow
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,10 @@ ODD_LOWER = frozenset("\u03a3\u0130")
 #: All bytes but the blank: stretches are what stands between blanks.
 STRETCH = ~byte_class(0x20)
 
+#: How byte-level tokenizers write a byte as a letter: printable ones as themselves, the others from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,9 +50,11 @@ class _Words:
     """The tokenizer of a worker process with the ids of stretches and words that it has met."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
@@ -60,24 +67,26 @@ class _Words:
         self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # stretch k has ids[at[k]:at[k + 1]]
 
     def _tokenized(self, words: list[str]) -> None:
-        plain = [w.isascii() and w.isalpha() for w in words]
-        model = self.tokenizer.model
-        for word in (w for w, p in zip(words, plain, strict=True) if p):  # lower-case letters: neither the normalizer nor the pattern has anything to do
-            self.words[word] = np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+        simple = {w for w in words if w.isalpha() and (w.isascii() or ODD_LOWER.isdisjoint(w))}
+        plain = list(simple)
+        # letters alone: neither the pattern nor, but for composing, the normalizer has anything to do
+        for lo in range(0, len(plain), 256):
+            part = plain[lo : lo + 256]
+            spelt = (w if w.isascii() else unicodedata.normalize("NFC", w).encode().decode("latin-1").translate(BYTE_LETTERS) for w in part)
+            ids = np.array(self.letters.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
+            self._add(part, ids, [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()])
         # the others some hundred at a time, a blank between them; a token belongs to the word in which it begins
-        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        rest = [w for w in words if w not in simple]
         for lo in range(0, len(rest), 256):
             part = rest[lo : lo + 256]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(part) and all(map(str.isalpha, part)):  # a word each, and each has its end mark
-                at = [0, *last.tolist()]
-            else:
-                starts = np.cumsum([0] + [len(w) + 1 for w in part])
-                at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
-            raw = ids.tobytes()
-            self.words.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
+            self._add(part, np.array(encoded.ids, "<u4"), at)
+
+    def _add(self, part: list[str], ids: np.ndarray, at: list[int]) -> None:
+        raw = ids.tobytes()
+        self.words.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
 
     def _learn(self, stretches: list[str]) -> None:
         """Ids of stretches between blanks: of the word, in lower case, and of the marks that end it.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, importable, written
-from .tokens import BLOCK_BYTES, byte_class, token_blocks
+from .tokens import byte_class, token_blocks
 
 LEAST = 100
 LONGEST = 5
@@ -34,9 +34,11 @@ TOP = 2_000
 TRIE_EDGES = 1 << 20
 #: Nodes with more children have a stretch of the array of their own, whose gaps others fill.
 CROWDED = 24
+#: Bytes of text in a block.
+BLOCK_BYTES = 2 << 20
 #: Pairs that a task gathers before it passes their counts on, and that a bucket sums, on average at most.
-GATHERED = 1 << 20
-BUCKET_PAIRS = 1 << 22
+GATHERED = 1 << 19
+BUCKET_PAIRS = 1 << 21
 
 #: Bytes that end a piece: . , ; : ! ? and line ends.
 PIECE_END = byte_class(*b".,;:!?", range(0x0A, 0x0E))
@@ -71,14 +73,14 @@ def blocks_of_words(docs: DataFrame) -> DataFrame:
             langs = batch.column("lang")
             for lang in langs.unique():
                 own = _segments(batch.column("text").filter(pc.equal(langs, lang)))
-                for t in token_blocks(own, WORD):
+                for t in token_blocks(own, WORD, BLOCK_BYTES):
                     if not len(t.words):
                         continue
                     coded = t.words.dictionary_encode()
                     codes = coded.indices.to_numpy()
-                    ends = np.zeros(len(t.data) + 1, np.int64)
-                    np.cumsum(PIECE_END[t.data], out=ends[1:])
-                    apart = (t.text[1:] != t.text[:-1]) | (ends[t.start[1:]] > ends[t.end[:-1]])
+                    ends = np.flatnonzero(PIECE_END[t.data])
+                    before = np.searchsorted(ends, t.start)  # piece ends before each word
+                    apart = (t.text[1:] != t.text[:-1]) | (before[1:] > before[:-1])
                     spread = np.full(len(codes) + int(apart.sum()), -1, np.int32)
                     spread[np.arange(len(codes)) + np.append(0, np.cumsum(apart))] = codes
                     words = coded.dictionary.cast(pa.string())
@@ -92,6 +94,8 @@ def blocks_of_words(docs: DataFrame) -> DataFrame:
                             "codes": pa.array([spread.tobytes()]),
                         }
                     )
+                del own
+            pa.default_memory_pool().release_unused()
 
     importable(docs.sparkSession)
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
