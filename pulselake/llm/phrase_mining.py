@@ -35,10 +35,10 @@ TRIE_EDGES = 1 << 20
 #: Nodes with more children have a stretch of the array of their own, whose gaps others fill.
 CROWDED = 24
 #: Bytes of text in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Pairs that a task gathers before it passes their counts on, and that a bucket sums, on average at most.
-GATHERED = 1 << 19
-BUCKET_PAIRS = 1 << 21
+GATHERED = 1 << 18
+BUCKET_PAIRS = 1 << 19
 
 #: Bytes that end a piece: . , ; : ! ? and line ends.
 PIECE_END = byte_class(*b".,;:!?", range(0x0A, 0x0E))
