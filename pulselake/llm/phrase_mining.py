@@ -48,6 +48,20 @@ BLOCKS = "lang string, size long, words array<string>, counts array<long>, codes
 STATES = "states binary"
 
 
+def _cell(*columns: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: executors move and hold what is a fraction of the arrays."""
+    raw = b"".join(x.tobytes() for x in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(cell: bytes) -> bytes:
+    return pa.decompress(cell[8:], decompressed_size=int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _numbers(cell: bytes, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(_opened(cell), kind)
+
+
 def _segments(texts: pa.Array) -> pa.Array:
     """The same texts, those over BLOCK_BYTES cut where pieces end."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -66,7 +80,7 @@ def _segments(texts: pa.Array) -> pa.Array:
 
 def blocks_of_words(docs: DataFrame) -> DataFrame:
     """Blocks of texts of one language (null: ``und``): distinct words with their counts, and ``codes``, the texts as places
-    in ``words`` (int32) with -1 between pieces; ``size`` is the number of words with repeats."""
+    in ``words`` (int32, compressed) with -1 between pieces; ``size`` is the number of words with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +105,7 @@ def blocks_of_words(docs: DataFrame) -> DataFrame:
                             "size": pa.array([len(codes)], pa.int64()),
                             "words": pa.ListArray.from_arrays(whole, words),
                             "counts": pa.ListArray.from_arrays(whole, np.bincount(codes, minlength=len(words))),
-                            "codes": pa.array([spread.tobytes()]),
+                            "codes": pa.array([_cell(spread)]),
                         }
                     )
                 del own
@@ -133,17 +147,17 @@ def _with_words(blocks: DataFrame, words: DataFrame, shards: int, ids: np.dtype)
                 for k in range(len(batch)):
                     row = batch[k : k + 1]
                     words = row.column("words").flatten()
-                    to = np.full(len(words), -1, ids) if first else np.frombuffer(row.column("to")[0].as_py(), ids).copy()
+                    to = np.full(len(words), -1, ids) if first else _numbers(row.column("to")[0].as_py(), ids).copy()
                     own = shared.value.get(row.column("lang")[0].as_py())
                     if own:
                         found = pc.index_in(words, value_set=own[0])
                         hit = np.asarray(found.is_valid())
                         to[hit] = own[1][found.drop_null().to_numpy()]
                     if last:
-                        codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                        yield pa.record_batch({"states": pa.array([np.append(to, -1).astype(ids)[codes].tobytes()])})
+                        codes = _numbers(row.column("codes")[0].as_py(), np.dtype(np.int32))
+                        yield pa.record_batch({"states": pa.array([_cell(np.append(to, -1).astype(ids)[codes])])})
                     else:
-                        yield row.append_column("to", pa.array([to.tobytes()])) if first else row.set_column(len(row.schema) - 1, "to", pa.array([to.tobytes()]))
+                        yield row.append_column("to", pa.array([_cell(to)])) if first else row.set_column(len(row.schema) - 1, "to", pa.array([_cell(to)]))
 
         return run
 
@@ -170,16 +184,10 @@ def local_counts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return left, right, np.bincount(number, n, len(pairs)).astype(np.int64)
 
 
-def _squeezed(*columns: np.ndarray) -> bytes:
-    """Compressed bytes of pairs: steps of a, then b, then counts."""
-    raw = b"".join(x.tobytes() for x in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(raw: bytes, ids: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = int.from_bytes(raw[:8], "little")
-    data = pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True)
-    many = size // (2 * ids.itemsize + 8)
+def _unpacked(cell: bytes, ids: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a (kept as steps), b and n of pairs."""
+    data = _opened(cell)
+    many = len(data) // (2 * ids.itemsize + 8)
     a, b = (np.frombuffer(data, ids, many, k * many * ids.itemsize) for k in (0, 1))
     return np.cumsum(a, dtype=ids), b, np.frombuffer(data, np.int64, many, 2 * many * ids.itemsize)
 
@@ -193,7 +201,7 @@ def pair_counts(states: DataFrame, ids: np.dtype, buckets: int, least: int) -> D
         bucket = (bucket % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
-        rows = [_squeezed(np.diff(a[at], prepend=a.dtype.type(0)), b[at], n[at]) for at in np.split(order, first[1:])]
+        rows = [_cell(np.diff(a[at], prepend=a.dtype.type(0)), b[at], n[at]) for at in np.split(order, first[1:])]
         if len(own):
             yield pa.record_batch({"bucket": pa.array(own), "pairs": pa.array(rows, pa.binary())})
 
@@ -201,7 +209,7 @@ def pair_counts(states: DataFrame, ids: np.dtype, buckets: int, least: int) -> D
         held, many = [], 0
         for batch in batches:
             for row in batch.column("states"):
-                s = np.frombuffer(row.as_py(), ids)
+                s = _numbers(row.as_py(), ids)
                 at = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
                 held.append(local_counts(s[at], s[at + 1], np.ones(len(at), np.int64)))
                 many += len(held[-1][0])
@@ -360,12 +368,12 @@ def _advanced(states: DataFrame, built: DataFrame, shards: int, ids: np.dtype) -
             for batch in batches:
                 for k in range(len(batch)):
                     given = batch.column("states")[k].as_py()
-                    old = np.frombuffer(given, ids)
-                    new = np.full(len(old), -1, ids) if first else np.frombuffer(batch.column("next")[k].as_py(), ids).copy()
+                    old = _numbers(given, ids)
+                    new = np.full(len(old), -1, ids) if first else _numbers(batch.column("next")[k].as_py(), ids).copy()
                     at = np.flatnonzero((old[:-1] >= 0) & (old[1:] >= 0))
                     to = trie.walk(old[at], old[at + 1])
                     new[at[to >= 0]] = to[to >= 0]
-                    cells = {"states": new.tobytes()} if last else {"states": given, "next": new.tobytes()}
+                    cells = {"states": _cell(new)} if last else {"states": given, "next": _cell(new)}
                     yield pa.record_batch({c: pa.array([v]) for c, v in cells.items()})
 
         return run
