@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +77,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most ``rows`` rows at once from what runs inside: for rows that are large themselves."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def removed_at_end(spark: SparkSession, path: str) -> None:
     _written.append((spark, path, None))
 

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, importable, written
+from .common import discard, importable, rows_a_batch, written
 from .tokens import byte_class, token_blocks
 
 LEAST = 100
@@ -36,6 +37,8 @@ TRIE_EDGES = 1 << 20
 CROWDED = 24
 #: Bytes of text in a block.
 BLOCK_BYTES = 1 << 20
+#: Blocks, each of about BLOCK_BYTES, that go to a Python worker at once.
+BATCH_BLOCKS = 8
 #: Pairs that a task gathers before it passes their counts on, and that a bucket sums, on average at most.
 GATHERED = 1 << 18
 BUCKET_PAIRS = 1 << 19
@@ -138,10 +141,7 @@ def _with_words(blocks: DataFrame, words: DataFrame, shards: int, ids: np.dtype)
     """The blocks as states of level 1: the numbers of frequent words, -1 for others and between pieces."""
     spark = blocks.sparkSession
 
-    def mapping(known: pa.Table, first: bool, last: bool):
-        lists = {lang.as_py(): known.filter(pc.equal(known["lang"], lang)).combine_chunks() for lang in known["lang"].unique()}
-        shared = spark.sparkContext.broadcast({lang: (t["word"].combine_chunks(), t["id"].to_numpy()) for lang, t in lists.items()})
-
+    def mapping(shared: Broadcast, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(len(batch)):
@@ -164,9 +164,13 @@ def _with_words(blocks: DataFrame, words: DataFrame, shards: int, ids: np.dtype)
     at = blocks
     for k in range(shards):
         known = words.where(F.pmod(F.xxhash64("lang", "word"), F.lit(shards)) == k).select("lang", "word", "id").toArrow()
+        lists = {lang.as_py(): known.filter(pc.equal(known["lang"], lang)).combine_chunks() for lang in known["lang"].unique()}
+        shared = spark.sparkContext.broadcast({lang: (t["word"].combine_chunks(), t["id"].to_numpy()) for lang, t in lists.items()})
         last = k == shards - 1
         given = at.select("lang", "words", "codes", *["to"] * bool(k))
-        now = written(given.mapInArrow(mapping(known, not k, last), STATES if last else "lang string, words array<string>, codes binary, to binary"), "states")
+        with rows_a_batch(spark, BATCH_BLOCKS):
+            now = written(given.mapInArrow(mapping(shared, not k, last), STATES if last else "lang string, words array<string>, codes binary, to binary"), "states")
+        shared.destroy()
         discard(at)
         at = now
     return at
@@ -358,11 +362,7 @@ def _advanced(states: DataFrame, built: DataFrame, shards: int, ids: np.dtype) -
     """States of phrases from those of one word less, which are discarded."""
     spark = states.sparkSession
 
-    def step(row: dict, first: bool, last: bool):
-        arrays = [np.frombuffer(row[c], np.int64) for c in ("heads", "base", "check", "value")]
-        small = [x.astype(np.int32) if len(arrays[1]) < 1 << 31 else x for x in arrays[1:3]]
-        shared = spark.sparkContext.broadcast((arrays[0], *small, arrays[3], row["digits"]))
-
+    def step(shared: Broadcast, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie = DoubleArray(*shared.value)
             for batch in batches:
@@ -380,8 +380,13 @@ def _advanced(states: DataFrame, built: DataFrame, shards: int, ids: np.dtype) -
 
     for k in range(shards):
         row = next(iter(built.where(F.col("shard") == k).toArrow().to_pylist()), {c: b"" for c in ("heads", "base", "check", "value")} | {"digits": 1})
+        arrays = [np.frombuffer(row[c], np.int64) for c in ("heads", "base", "check", "value")]
+        small = [x.astype(np.int32) if len(arrays[1]) < 1 << 31 else x for x in arrays[1:3]]
+        shared = spark.sparkContext.broadcast((arrays[0], *small, arrays[3], row["digits"]))
         last = k == shards - 1
-        now = written(states.mapInArrow(step(row, not k, last), STATES if last else f"{STATES}, next binary"), "states")
+        with rows_a_batch(spark, BATCH_BLOCKS):
+            now = written(states.mapInArrow(step(shared, not k, last), STATES if last else f"{STATES}, next binary"), "states")
+        shared.destroy()
         discard(states)
         states = now
     return states
@@ -406,7 +411,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     levels = [level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", F.array("n").alias("heads"), F.array("n").alias("tails"))]
     for length in range(2, longest + 1):
         below = levels[-1]
-        level, many = numbered(pair_counts(states, ids, buckets, least), "pairs")
+        with rows_a_batch(docs.sparkSession, BATCH_BLOCKS):
+            level, many = numbered(pair_counts(states, ids, buckets, least), "pairs")
         if not many:
             break
         front = below.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("front"), "heads")
