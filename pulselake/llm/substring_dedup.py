@@ -133,7 +133,7 @@ def _kept(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, str
     return int(gone.sum()), hashlib.sha256(rest).hexdigest()
 
 
-_MARKED = "doc_id long, n_words long, kept_sha256 string, text string, at array<int>, hashes array<long>"
+_MARKED = "doc_id long, text_key string, n_words long, kept_sha256 string, text string, at array<int>, hashes array<long>"
 
 
 def _marked(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shards: int, window: int) -> DataFrame:
@@ -141,16 +141,18 @@ def _marked(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shards: int,
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.sort(right["phrase"].drop_null().to_numpy().view(np.uint64))
-        skipped = set(right["copy"].drop_null().to_pylist())
-        rows = {i: t for i, t in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True) if i not in skipped}
-        ids, texts = list(rows), list(rows.values())
+        skipped = {(c["doc_id"], c["text_key"]) for c in right["copy"].drop_null().to_pylist()}
+        given = zip(left["doc_id"].to_pylist(), left["text_key"].to_pylist(), left["text"].to_pylist(), strict=True)
+        rows = {(i, key): t for i, key, t in given if (i, key) not in skipped}
+        texts = list(rows.values())
         at = _locate(texts, wanted, window)
         hashes = _window_hashes(texts, at, window)
         words = [_words(t) for t in texts]
         none = [not len(a) for a in at]
         return pa.table(
             [
-                pa.array(ids, pa.int64()),
+                pa.array([i for i, _ in rows], pa.int64()),
+                pa.array([key for _, key in rows], pa.string()),
                 pa.array(map(len, words), pa.int64()),
                 pa.array([hashlib.sha256(b" ".join(w)).hexdigest() if n else None for w, n in zip(words, none, strict=True)], pa.string()),
                 pa.array([None if n else t for t, n in zip(texts, none, strict=True)], pa.string()),
@@ -161,15 +163,15 @@ def _marked(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shards: int,
         )
 
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    texts = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", "text", shard)
-    side = phrases.select("shard", "phrase", F.lit(None).cast("long").alias("copy")).unionByName(
-        copies.select(shard, F.lit(None).cast("long").alias("phrase"), F.col("doc_id").alias("copy"))
+    texts = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("text_key"), "text", shard)
+    side = phrases.select("shard", "phrase", F.lit(None).cast("struct<doc_id: bigint, text_key: string>").alias("copy")).unionByName(
+        copies.select(shard, F.lit(None).cast("long").alias("phrase"), F.struct("doc_id", "text_key").alias("copy"))
     )
     return texts.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(run, _MARKED)
 
 
 def _cleaned(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of rows with text and ``gone``, the starts of windows that go."""
+    """doc_id, text_key, n_words, n_removed, kept_sha256 of rows with text and ``gone``, the starts of windows that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,20 +180,22 @@ def _cleaned(rows: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
+                    "text_key": batch.column("text_key"),
                     "n_words": pa.array(map(len, words), pa.int64()),
                     "n_removed": pa.array([n for n, _ in found], pa.int64()),
                     "kept_sha256": pa.array([s for _, s in found], pa.string()),
                 }
             )
 
-    return rows.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text_key", "text", "gone").mapInArrow(run, "doc_id long, text_key string, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     Null and empty texts have no words. A null doc_id is neither smaller nor larger than another: such a row keeps all
-    its words and takes none from others. Rows repeated with one doc_id and text get the same result each.
+    its words and takes none from others. Rows repeated with one doc_id and text get the same result each. Different texts
+    under one doc_id are judged each by itself: windows that they share stay in both, as neither has the smaller doc_id.
     """
     named = written(_named(docs, window), "named")
     classes = written(named.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id")), "classes")
@@ -201,27 +205,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_documents: int =
     phrases = of_class.where("doc_id = first_id").select("doc_id", shard, F.explode("phrases").alias("phrase"))
     recurring = phrases.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
     wanted = phrases.join(recurring, "phrase").select("shard", "phrase").distinct()
-    copies = of_class.where("doc_id <> first_id").select("doc_id").distinct()
+    copies = of_class.where("doc_id <> first_id").select("doc_id", "text_key").distinct()
     marked = written(_marked(docs, wanted, copies, shards, window), "marked")
 
     noted = marked.where("text IS NOT NULL")
-    starts = noted.select("doc_id", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", "w.at", "w.hashes")
+    starts = noted.select("doc_id", "text_key", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", "text_key", "w.at", "w.hashes")
     confirmed = starts.groupBy("hashes").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hashes", "low")
-    gone = starts.join(confirmed, "hashes").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
+    gone = starts.join(confirmed, "hashes").where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("gone"))
     firsts = (
-        _cleaned(noted.select("doc_id", "text").join(gone, "doc_id", "left"), window)
-        .unionByName(marked.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+        _cleaned(noted.select("doc_id", "text_key", "text").join(gone, ["doc_id", "text_key"], "left"), window)
+        .unionByName(marked.where("text IS NULL").select("doc_id", "text_key", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
         .withColumnRenamed("doc_id", "first_id")
         .drop("n_words")
     )
     whole = F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= window)
-    result = of_class.where("doc_id IS NOT NULL").join(firsts, "first_id").select(
+    result = of_class.where("doc_id IS NOT NULL").join(firsts, ["first_id", "text_key"]).select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(_NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
-    return result.unionByName(_cleaned(id_and_text(docs).where("doc_id IS NULL").withColumn("gone", F.array().cast("array<int>")), window))
+    nameless = id_and_text(docs).where("doc_id IS NULL").withColumn("text_key", F.sha2("text", 256)).withColumn("gone", F.array().cast("array<int>"))
+    return result.unionByName(_cleaned(nameless, window).drop("text_key"))
 
 
 ORACLE = r"""

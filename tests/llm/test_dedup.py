@@ -117,6 +117,15 @@ def test_repeated_windows(docs, rows):
     assert sum(w[2] for w in want) > 200
 
 
+def test_two_texts_under_one_id(spark):
+    """Each row has a result; a copy loses its words to the smaller doc_id, whatever else has its own."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(3, b), (5, b), (5, a), (9, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect())
+    whole, none = (lambda t: hashlib.sha256(t.encode()).hexdigest()), hashlib.sha256(b"").hexdigest()
+    assert got == sorted([(3, 60, 0, whole(b)), (5, 60, 60, none), (5, 60, 0, whole(a)), (9, 60, 60, none)])
+
+
 def test_no_documents(nothing):
     assert exact_dedup.exact_duplicates(nothing).collect() == []
     assert near_dedup.near_duplicates(nothing).collect() == []
