@@ -14,15 +14,15 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, id_and_text, written
-from .tokens import byte_class, token_blocks
+from .tokens import LOWER, byte_class, token_blocks
 
 CAPACITY = 4096
 #: Pieces that are packed together, on average.
@@ -30,24 +30,62 @@ PARTITION_PIECES = 8_192
 #: Exchanges without a sequence saved, each with another dealing, after which there are no more.
 FRUITLESS = 4
 END_OF_DOCUMENT = 1
-#: Stretches, and words, whose ids a worker remembers.
-REMEMBERED = 500_000
-ENDING = ".,!?;:"
+#: Words whose ids a worker remembers.
+REMEMBERED = 800_000
+#: Words that the tokenizer gets at once, a blank between them.
+TOGETHER = 1_024
 #: Letters whose lower case depends on their place or has more than one letter.
 ODD_LOWER = frozenset("\u03a3\u0130")
 
-#: All bytes but the blank: stretches are what stands between blanks.
-STRETCH = ~byte_class(0x20)
+#: The tokenizer parts texts at white space; of that, all that is ASCII.
+SOLID = ~byte_class(0x20, range(0x09, 0x0E))
+ODD, LETTER, DIGIT, MARK = range(4)
+APOSTROPHE = 0x27
 
-#: How byte-level tokenizers write a byte as a letter: printable ones as themselves, the others from U+0100 on.
+#: How byte-level tokenizers write a byte as a letter: printable ones as themselves, the others from U+0100 on. Blanks part words.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+BYTE_LETTERS[np.setdiff1d(np.arange(256), PRINTABLE)] = np.arange(256, 512 - len(PRINTABLE))
+BYTE_LETTERS[0x20] = 0x20
 
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
+    """The kind of each byte, and which characters of the basic plane, and bytes, are letters; and letters to leave to the tokenizer.
+
+    Those are the ones that lower case and composing turn into something else than letters.
+    """
+    some = map(chr, [*range(0x80, 0x3000), *range(0xF900, 0xFB50)])
+    odd = ODD_LOWER.union(c for c in some if c.isalpha() and not unicodedata.normalize("NFC", c.lower()).isalpha())
+    letters = np.array([chr(c).isalpha() and chr(c) not in odd for c in range(0x10000)])
+    kinds = np.full(256, ODD, np.uint8)
+    kinds[:0x80] = MARK
+    kinds[:0x80][letters[:0x80]] = LETTER
+    kinds[0x30:0x3A] = DIGIT
+    return kinds, letters, odd
+
+
+def _kind(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 text: of a letter, of an ASCII digit, of another ASCII mark, of anything else."""
+    kinds, letters, _ = _kinds()
+    kind = kinds[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead]
+    for longer, (low, high) in ((1, (0xC0, 0xE0)), (2, (0xE0, 0xF0))):
+        at = lead[(first >= low) & (first < high)]
+        code = data[at].astype(np.int64) & (high - low - 1)
+        for k in range(1, longer + 1):
+            code = code << 6 | data[at + k] & 0x3F
+        at = at[letters[code]]
+        for k in range(longer + 1):
+            kind[at + k] = LETTER
+    return kind
+
+
 class _Words:
-    """The tokenizer of a worker process with the ids of stretches and words that it has met."""
+    """The tokenizer of a worker process with the ids of words that it has met."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -55,76 +93,84 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.stretches: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # stretch k has ids[at[k]:at[k + 1]]
+        self.numbers: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # word k has ids[at[k]:at[k + 1]]
+
+    def spelling(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokenizer parts a text whatever stands around: between letters, digits and other marks of ASCII.
 
-    def _tokenized(self, words: list[str]) -> None:
-        simple = {w for w in words if w.isalpha() and (w.isascii() or ODD_LOWER.isdisjoint(w))}
-        plain = list(simple)
+        An apostrophe may belong to the letters after it, and what is not ASCII to its neighbours. Special tokens are
+        parted from all else. A-Z are lower-cased, but before what may be composed with them, as that comes first.
+        """
+        kind = _kind(data)
+        cut = np.zeros(len(data), bool)
+        before, after = kind[:-1], kind[1:]
+        cut[1:] = (before != after) & (before != ODD) & (after != ODD) & ((after != LETTER) | (data[:-1] != APOSTROPHE))
+        raw = data.tobytes()
+        for special in self.special:
+            lo = raw.find(special)
+            while lo >= 0:
+                hi = lo + len(special)
+                if np.searchsorted(texts, lo, "right") == np.searchsorted(texts, hi - 1, "right"):  # in one text
+                    cut[lo + 1 : hi] = False
+                    cut[[lo, *([hi] if hi < len(cut) else [])]] = True
+                lo = raw.find(special, hi)
+        spelt = LOWER[data]
+        kept = np.flatnonzero(after == ODD)
+        spelt[kept] = data[kept]
+        return spelt, cut
+
+    def _learn(self, words: list[str]) -> None:
+        odd = _kinds()[2]
+        simple = [w.isalpha() and (w.isascii() or odd.isdisjoint(w)) for w in words]
+        plain, rest = list(compress(words, simple)), [w for w, s in zip(words, simple, strict=True) if not s]
+        ids, sizes = [self.ids], []
         # letters alone: neither the pattern nor, but for composing, the normalizer has anything to do
-        for lo in range(0, len(plain), 256):
-            part = plain[lo : lo + 256]
-            spelt = (w if w.isascii() else unicodedata.normalize("NFC", w).encode().decode("latin-1").translate(BYTE_LETTERS) for w in part)
-            ids = np.array(self.letters.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
-            self._add(part, ids, [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()])
-        # the others some hundred at a time, a blank between them; a token belongs to the word in which it begins
-        rest = [w for w in words if w not in simple]
-        for lo in range(0, len(rest), 256):
-            part = rest[lo : lo + 256]
+        for lo in range(0, len(plain), TOGETHER):
+            text = " ".join(plain[lo : lo + TOGETHER]).lower()
+            if not text.isascii():
+                raw = unicodedata.normalize("NFC", text).encode()
+                text = BYTE_LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
+            ids.append(np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1))
+        # of the others a token belongs to the word in which it begins
+        for lo in range(0, len(rest), TOGETHER):
+            part = rest[lo : lo + TOGETHER]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            at = np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts).tolist()
-            self._add(part, np.array(encoded.ids, "<u4"), at)
-
-    def _add(self, part: list[str], ids: np.ndarray, at: list[int]) -> None:
-        raw = ids.tobytes()
-        self.words.update((w, raw[4 * at[k] : 4 * at[k + 1]]) for k, w in enumerate(part))
+            ids.append(np.array(encoded.ids, "<u4"))
+            sizes.append(np.diff(np.searchsorted(np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0], starts)))
+        self.numbers.update(zip(plain + rest, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.ids = np.concatenate(ids)
+        self.at = np.append(self.at, self.at[-1] + np.cumsum(np.concatenate(sizes)))
 
-    def _learn(self, stretches: list[str]) -> None:
-        """Ids of stretches between blanks: of the word, in lower case, and of the marks that end it.
-
-        The tokenizer lower-cases, and parts letters from the marks in ENDING; so "Word," and "word." share a word. What
-        may hold the text of a special token is left as it is.
-        """
-        words, marks = [], []
-        for s in stretches:
-            word = s.rstrip(ENDING)
-            if word[-1:].isalpha() and (word.isascii() or ODD_LOWER.isdisjoint(word)) and "<|" not in word:
-                words.append(word.lower())
-                marks.append(s[len(word) :])
-            else:
-                words.append(s)
-                marks.append("")
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        self.words[""] = b""
-        self._tokenized(list(set(words).union(marks) - self.words.keys()))
-        new = [self.words[w] + self.words[m] for w, m in zip(words, marks, strict=True)]
-        self.stretches.update(zip(stretches, range(len(self.stretches), len(self.stretches) + len(new)), strict=True))
-        self.ids = np.append(self.ids, np.frombuffer(b"".join(new), "<u4"))
-        self.at = np.append(self.at, self.at[-1] + np.cumsum(np.array([len(x) // 4 for x in new], np.int64)))
+    def _known(self, words: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For blocks of texts: their ids one after another, END_OF_DOCUMENT after each text, and where each text begins.
 
-        The tokenizer drops white space and never joins what it parts, so each stretch has its ids whatever stands
-        beside it. Upper case only tells special tokens apart.
+        The tokenizer drops white space and never joins what it parts, so each word has its ids whatever stands beside it.
         """
-        for t in token_blocks(texts, STRETCH, lower=not pc.any(pc.match_substring(texts, "<|")).as_py()):
+        for t in token_blocks(texts, SOLID, spelling=self.spelling):
             coded = t.words.dictionary_encode()
-            distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
-            if len(self.stretches) + len(distinct) > REMEMBERED:
+            distinct = coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False)
+            number = self._known(distinct)
+            new = np.flatnonzero(number < 0)
+            if len(new) and len(self.numbers) + len(new) > REMEMBERED:
                 self._forget()
-            self._learn([s for s in distinct if s not in self.stretches])
-            which = np.array([self.stretches[s] for s in distinct], np.int64)[coded.indices.to_numpy()]
+                new = np.arange(len(distinct))
+            if len(new):
+                self._learn(distinct[new].tolist())
+                number[new] = self._known(distinct[new])
+            which = number[coded.indices.to_numpy()]
             size = self.at[which + 1] - self.at[which]
             count = np.bincount(t.text, size, t.hi - t.lo).astype(np.int64) + 1
             begin = np.append(0, np.cumsum(count))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +38,15 @@ class Tokens:
     data: np.ndarray
 
 
-def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BYTES, lower: bool = True) -> Iterator[Tokens]:
-    """Maximal runs of ``solid`` bytes, with A-Z lower-cased if ``lower``; a null text counts as empty."""
+#: From the bytes of a block and where its texts begin: the bytes as tokens have them, and at which a token begins anew.
+Spelling = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BYTES, lower: bool = True, spelling: Spelling | None = None) -> Iterator[Tokens]:
+    """Maximal runs of ``solid`` bytes, with A-Z lower-cased if ``lower``; a null text counts as empty.
+
+    With ``spelling`` runs are spelt and cut as it says, whatever ``lower`` is.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:
@@ -50,16 +57,19 @@ def token_blocks(texts: pa.Array, solid: np.ndarray, block_bytes: int = BLOCK_BY
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes, "right")) - 1)
-        part = data[at[lo] : at[hi]]
-        yield _tokens(lo, hi, LOWER[part] if lower else part, at[lo : hi + 1] - at[lo], solid)
+        part, begins = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        spelt, cut = spelling(part, begins) if spelling else (LOWER[part] if lower else part, None)
+        yield _tokens(lo, hi, spelt, begins, solid, cut)
         lo = hi
 
 
-def _tokens(lo: int, hi: int, data: np.ndarray, at: np.ndarray, solid: np.ndarray) -> Tokens:
+def _tokens(lo: int, hi: int, data: np.ndarray, at: np.ndarray, solid: np.ndarray, cut: np.ndarray | None) -> Tokens:
     inside = solid[data]
     begin, finish = inside.copy(), inside.copy()
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
+    if cut is not None:
+        edge[:-1] |= cut
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     finish[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1

@@ -114,6 +114,32 @@ def test_stretches_have_the_ids_of_whole_texts(rows):
             assert ids == plain.encode(text, add_special_tokens=False).ids + [1], text[:80]
 
 
+def test_words_are_met_once_whatever_marks_stand_beside_them():
+    words = packing._Words(tokenizer_file(WORD_BPE))
+    marks = ["", ".", ",\n", "&&&", "!)", ".\nword", "-word", "/été", "42", '":']
+    for _ in words.encode(pa.array([w + m for w in ("word", "Word", "été") for m in marks])):
+        pass
+    assert set(words.numbers) == {"word", "été", *".,-/", "&&&", "!)", "42", '":'}
+
+
+def test_letters_that_compose_or_come_apart():
+    path = tokenizer_file(WORD_BPE)
+    plain = Tokenizer.from_file(path)
+    # upper case has no composed letter where lower case has one; others are composed of letter and mark for ever
+    texts = ["H\u0331 T\u0308a J\u030c. W\u030a", "a=\u0338b \u0915\u093c \u0958. \u0958\u0915", "\ufb1d, A\u0301.B", "\u212b\u2126 \u1100\u1161."]
+    for text, (ids, _) in ((t, next(packing._words(path).encode(pa.array([t])))) for t in texts):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [1], text
+
+
+def test_special_tokens_do_not_reach_over_texts():
+    path = tokenizer_file(WORD_BPE)
+    plain = Tokenizer.from_file(path)
+    texts = ["x<|endof", "text|>.y", "<|endoftext|>", ".<|startoftext|>'s"]
+    ids, begin = next(packing._words(path).encode(pa.array(texts)))
+    for text, a, b in zip(texts, begin, begin[1:], strict=False):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids + [1], text
+
+
 def test_packing_keeps_large_ids_beside_a_null(spark):
     docs = spark.createDataFrame([(None, "a"), (2**60 + 1, "b"), (2**60 + 3, "<|endoftext|>"), (2**60 + 3, "<|endoftext|>")], "doc_id long, text string")
     got = Counter((r.doc_id, r.length) for r in packing.pack_documents(docs, tokenizer_file(WORD_BPE)).collect())
