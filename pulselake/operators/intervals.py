@@ -49,9 +49,18 @@ def _buckets(rows: DataFrame, width: str) -> DataFrame:
     return rows.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_from"), at), _bucket(F.col("_to"), at))))
 
 
-def _widths(placed: DataFrame) -> Column:
-    """The widths that occur, at most WIDTHS, as a scalar subquery."""
-    return placed.agg(F.array_sort(F.collect_set("_width"))).scalar()
+def _numbered(bucket: Column, width: Column) -> Column:
+    """One number for a bucket and its width."""
+    return bucket * WIDTHS + width
+
+
+def _at_widths(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` once for each ``_width`` that some interval has, at most WIDTHS times.
+
+    Few rows are broadcast, whatever the size of the tables: the widths that occur.
+    """
+    every = rows.withColumn("_width", F.explode(F.array(*[F.lit(k) for k in range(WIDTHS)])))
+    return every.join(F.broadcast(placed.select("_width").distinct()), "_width", "left_semi")
 
 
 def _salt(salts: int) -> Column:
@@ -71,26 +80,30 @@ def records_within(
 
     ``both_ends`` asks for the whole record inside the workout; otherwise its start decides. Bounds are inclusive.
     The result has the workout columns plus ``record_type``, ``record_start`` and ``value``. A workout has one width
-    and a record one bucket of it, so no pair appears twice. The equi-key is (subject, width, bucket, salt): a subject or
-    hour with a large share of all records is spread over many tasks, and runs of equal records (same salt) are left to
-    AQE's skew split, which cuts by bytes, not by key. Neither side is broadcast unless Spark's size check allows.
+    and a record one bucket of it, so no pair appears twice. The equi-key is (subject, bucket, salt), the bucket's number
+    telling its width: a subject or hour with a large share of all records is spread over many tasks, and runs of equal
+    records (same salt) are left to AQE's skew split, which cuts by bytes, not by key. Neither side is broadcast unless
+    Spark's size check allows.
     """
     placed = _placed(workouts, "start_date", "end_date")
-    left = _buckets(placed, "_width").withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    right = records.select(
+    number = _numbered(F.col("_bucket"), F.col("_width"))
+    left = _buckets(placed, "_width").withColumn("_bucket", number).withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    points = records.select(
         F.col("subject_id"),
-        F.explode(_widths(placed)).alias("_width"),
         _salt(salts).alias("_salt"),
         F.col("record_type"),
         F.col("start_date").alias("record_start"),
         F.col("end_date").alias("record_end"),
         F.col("value"),
-    ).withColumn("_bucket", _bucket(hour_bucket(F.col("record_start")), F.col("_width")))
+        hour_bucket(F.col("start_date")).alias("_hour"),
+    )
+    bucket = _numbered(_bucket(F.col("_hour"), F.col("_width")), F.col("_width"))
+    right = _at_widths(points, placed).withColumn("_bucket", bucket).drop("_hour", "_width")
     inside = F.col("record_start").between(F.col("start_date"), F.col("end_date"))
     if both_ends:
         inside &= F.col("record_end").between(F.col("start_date"), F.col("end_date"))
     return (
-        left.join(right, ["subject_id", "_width", "_bucket", "_salt"], "inner")
+        left.join(right, ["subject_id", "_bucket", "_salt"], "inner")
         .where(inside)
         .drop("_from", "_to", "_width", "_bucket", "_salt", "record_end")
     )

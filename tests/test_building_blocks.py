@@ -76,6 +76,19 @@ def test_overlapping(spark):
     assert got == expected and len(got) > 50
 
 
+def test_buckets_of_different_widths_keep_apart(spark):
+    """All widths have a bucket 0: a minute, a day and a year from 1970 on meet a record of its first hour once each."""
+    starts, ends = "timestamp_ntz '1970-01-01 00:10:00'", ("00:11:00", "23:59:00", "23:59:00")
+    days = ("1970-01-01", "1970-01-02", "1970-12-31")
+    workouts = spark.sql(" union all ".join(f"select 1L subject_id, {starts} start_date, timestamp_ntz '{d} {e}' end_date, {k} w" for k, (d, e) in enumerate(zip(days, ends, strict=True))))
+    records = spark.sql(f"select 1L subject_id, 'HeartRate' record_type, {starts} start_date, {starts} end_date, 1.0D value")
+    placed = intervals._placed(workouts, "start_date", "end_date")
+    assert sorted(r["_width"] for r in placed.collect()) == [0, 1, 3]
+    assert intervals._at_widths(records, placed).count() == 3
+    got = intervals.records_within(workouts, records, both_ends=True).collect()
+    assert sorted(r["w"] for r in got) == [0, 1, 2]
+
+
 def test_long_intervals_cost_few_rows(spark):
     """A minute and a century, before 1970 too: few buckets each, and the same pairs as a plain search."""
     spans = [(T0, T0 + timedelta(minutes=1)), (T0 - timedelta(days=36_500), T0 + timedelta(days=20)), (T0, T0 + timedelta(days=36_500)), (T0 - timedelta(days=30_000), T0 - timedelta(days=25_000)), (T0, T0 + timedelta(hours=17, minutes=30))]
